@@ -8,10 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, lines, packing, quality, simhash
+from . import decontaminate, extract, imatch, lines, packing, pii, quality, simhash, substrings, warc
 
 #: The vocabulary of op4 and of the pipeline's last stage.
 TOKENIZER = "word_bpe_49k.json"
+#: The key of op5's pseudonyms; a deployment has its own.
+PII_KEY = b"quarrylog demonstration key"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,13 +38,35 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER)).drop("loss_tokens")
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(table(spark, sf_dir, "documents"), PII_KEY)
+
+
+def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(table(spark, sf_dir, "pages"))
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
+def op8_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.imatch(table(spark, sf_dir, "documents"))
+
+
+def op9_warc_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The audit of all pages' records against a replica in which each 97th page's record has a wrong byte."""
+    recs = warc.records(table(spark, sf_dir, "pages"))
+    return warc.audit(recs, warc.damaged(recs))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_simhash, op3_line_dedup, op4_packing, op10_quality)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_simhash, op3_line_dedup, op4_packing, op5_pii, op6_html_extract, op7_substring_dedup, op8_imatch, op9_warc_merkle, op10_quality)}
 
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -74,5 +98,31 @@ FROM keyed LEFT JOIN often o ON keyed.k = o.k GROUP BY doc_id
 """
 
 
+_RECORD = r"""encode('WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10) || 'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || strlen(html) || chr(13) || chr(10) || chr(13) || chr(10) || html || chr(13) || chr(10) || chr(13) || chr(10))"""
+
+OP9_SQL = f"""
+WITH r AS (SELECT page_id, page_id // 256 AS file, {_RECORD} AS record FROM pages),
+m AS (SELECT page_id, file, octet_length(record) AS length, sha256(record) AS digest FROM r)
+SELECT CAST(file AS BIGINT) AS file, row_number() OVER w - 1 AS place, page_id, CAST(sum(length) OVER w - length AS BIGINT) AS "offset", CAST(length AS BIGINT) AS length, digest,
+       CASE WHEN page_id % 97 = 0 THEN 'damaged' ELSE 'sound' END AS status
+FROM m WINDOW w AS (PARTITION BY file ORDER BY page_id)
+"""
+
+OP7_SQL = """
+WITH RECURSIVE b AS (SELECT doc_id, encode(coalesce(text, '')) AS raw FROM documents),
+starts AS (SELECT doc_id, i, hex(raw[i : i + 49]) AS s FROM b, LATERAL unnest(range(1, octet_length(raw) - 48)) AS t(i)),
+firsts AS (SELECT s, min(doc_id) AS first FROM starts GROUP BY s),
+hits AS (SELECT doc_id, i FROM starts JOIN firsts USING (s) WHERE doc_id > first),
+marked AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM hits),
+runs AS (SELECT doc_id, i, sum(CASE WHEN before IS NULL OR i > before + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM marked),
+spans AS (SELECT doc_id, run, min(i) AS s, max(i) + 50 AS e FROM runs GROUP BY doc_id, run),
+ends AS (SELECT doc_id, list(s ORDER BY s) AS s, list(e ORDER BY s) AS e FROM spans GROUP BY doc_id),
+cut AS (SELECT b.doc_id, raw, coalesce(s, []) AS s, coalesce(e, []) AS e FROM b LEFT JOIN ends USING (doc_id))
+SELECT doc_id, CAST(octet_length(raw) AS BIGINT) AS n_bytes, CAST(coalesce(list_sum(e) - list_sum(s), 0) AS BIGINT) AS n_removed, CAST(len(s) AS BIGINT) AS n_spans,
+       sha256(unhex(array_to_string(list_transform(range(0, len(s) + 1), lambda k: hex(raw[CASE WHEN k = 0 THEN 1 ELSE e[k] END : CASE WHEN k = len(s) THEN octet_length(raw) ELSE s[k + 1] - 1 END])), ''))) AS kept_sha256
+FROM cut
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1_SQL, "op3_line_dedup": OP3_SQL}
+    return {"op1_decontaminate": OP1_SQL, "op3_line_dedup": OP3_SQL, "op7_substring_dedup": OP7_SQL, "op9_warc_merkle": OP9_SQL}
