@@ -13,16 +13,16 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, batch_of, bounded_batches, schema
 from .hashing import ALNUM, scrambled, words_hashed
 
-#: Subsets keep a term with probability 2^-j: `EACH` subsets for each j below `GRADES`.
-GRADES, EACH = 12, 4
-_SALTS = np.random.default_rng(11).integers(1, 1 << 62, (GRADES, EACH), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Subsets keep a term with probability 2^-j, for each j below GRADES; EACH independent draws of them.
+GRADES, EACH = 11, 12
+_SALTS = np.random.default_rng(11).integers(1, 1 << 62, EACH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BOUNDS = np.array([(1 << (64 - j)) - 1 for j in range(GRADES)], np.uint64)
 
 
 def terms_of(text: str | None) -> np.ndarray:
@@ -70,27 +70,40 @@ def lexicon(docs: DataFrame, low: float = 1e-4, high: float = 0.05, most: int =
 
 
 def fingerprint(terms: np.ndarray, band: np.ndarray) -> str:
-    """Four hex digits for each subset: of the sorted terms in it, and 0000 if there are none."""
+    """Four hex digits for each subset, grade by grade: a hash of the sorted distinct terms in it, 0000 if there are none.
+
+    A draw gives each term of the lexicon a random number; the subset of grade j has those below 2^-j of the range. The
+    hash adds up the hashes of its terms, so that of a subset is a prefix sum over terms sorted by that number.
+    """
     if len(band) and len(terms):
         at = np.minimum(np.searchsorted(band, terms), len(band) - 1)
         terms = terms[band[at] == terms]
-    else:
-        terms = terms[:0]
-    out = []
-    for j in range(GRADES):
-        for salt in _SALTS[j]:
-            own = terms if not j else terms[(scrambled(terms * salt) >> np.uint64(64 - j)) == 0]
-            out.append(xxhash.xxh64_intdigest(own.tobytes(), int(salt) & 0xFFFF) % 65535 + 1 if len(own) else 0)
-    return "".join(f"{h:04x}" for h in out)
+    if not len(band) or not len(terms):
+        return "0000" * (GRADES * EACH)
+    own, out = scrambled(terms + np.uint64(1)), np.empty((EACH, GRADES), np.uint64)
+    for k, salt in enumerate(_SALTS):
+        number = scrambled(terms * salt)
+        order = np.argsort(number)
+        sums = np.zeros(len(terms) + 1, np.uint64)
+        np.cumsum(own[order], out=sums[1:])
+        out[k] = sums[np.searchsorted(number[order], _BOUNDS, side="right")]
+    codes = np.where(out == 0, np.uint64(0), scrambled(out + np.uint64(7)) % np.uint64(65535) + np.uint64(1))
+    return codes.T.astype(">u2").tobytes().hex()
 
 
 def likeness(a: str, b: str) -> float:
-    """The share of equal hashes among the subsets that have a term of either; 1 for equal fingerprints."""
+    """The share of equal hashes in the grade where it is highest, among its subsets that have a term of either, but of half of the
+    grade's subsets at least. 1 for equal fingerprints."""
     if a == b:
         return 1.0
-    pairs = [(a[i : i + 4], b[i : i + 4]) for i in range(0, len(a), 4)]
-    told = [x == y for x, y in pairs if x != "0000" or y != "0000"]
-    return sum(told) / len(told)
+    most, size = 0.0, 4 * EACH
+    for j in range(0, len(a), size):
+        x, y = a[j : j + size], b[j : j + size]
+        pairs = [(x[i : i + 4], y[i : i + 4]) for i in range(0, size, 4)]
+        equal = sum(p == q != "0000" for p, q in pairs)
+        if equal:
+            most = max(most, equal / max(EACH // 2, sum(p != "0000" or q != "0000" for p, q in pairs)))
+    return most
 
 
 def with_next(docs: DataFrame, per_partition: int = 16) -> DataFrame:
