@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .functions.semirings import Semiring, semiring_of
-from .language import LanguageError, Program, Relation
+from .language import Agg, LanguageError, Program, Relation, atom_of
 from .operators.body import PROV
 from .operators.fixpoint import Evaluation
 from .operators.tables import Tables
@@ -129,13 +129,13 @@ class Engine:
             raise LanguageError(f"one program, several semirings: {', '.join(rings)}")
         return next(iter(rings.values()), None)
 
-    def _given(self, relation: Relation, ring: Semiring | None) -> DataFrame:
-        """The facts as a set. Null columns never join; tuples that are all null are blank input and go."""
+    def _given(self, relation: Relation, ring: Semiring | None, once: bool) -> DataFrame:
+        """The facts: without repetitions, if `once`, or with the annotations of repeated ones added up."""
         kinds = column_kinds(relation)
         keys = [c for c, _ in kinds]
         df = self.facts[relation.name]
         if ring is None:
-            return df.select(*keys).distinct()
+            return df.select(*keys).distinct() if once else df.select(*keys)
         one = F.lit(ring.one).cast(ring.type)
         df = df.select(*keys, (F.coalesce(F.col(PROV), one) if PROV in df.columns else one).alias(PROV))
         return df.groupBy(*keys).agg(ring.add(F.col(PROV)).alias(PROV))
@@ -145,15 +145,20 @@ class Engine:
         compiled = compile_program(program, self.pipeline, allow_negative_cycles)
         ring = self._ring(compiled) if annotations else None
         state = Evaluation(compiled, Tables(self.spark), ring, column_kinds, max_iterations)
+        # heads are made sets anyway, so facts are only where their number counts: that saves a shuffle of each source
+        counted = {a.rel for r in compiled.rules for c in r.body if (a := atom_of(c)) and (r.count or isinstance(c, Agg))}
         for r in compiled.relations.values():
             if r.name in self.facts:
-                state.full[r.name] = self._given(r, ring)
+                state.full[r.name] = self._given(r, ring, r.name in counted)
+                if ring is None and r.name not in counted:
+                    state.raw.add(r.name)
             else:
                 empty = ", ".join(f"{c} {k}" for c, k in column_kinds(r)) + (f", {PROV} {ring.type}" if ring else "")
                 state.full[r.name] = self.spark.createDataFrame([], empty)
                 state.given_nothing.add(r.name)
         state.run()
-        out = Result(state.full, state.counts, state.iterations, compiled)
+        sets = {n: df.distinct() if n in state.raw else df for n, df in state.full.items()}
+        out = Result(sets, state.counts, state.iterations, compiled)
         for r in compiled.relations.values():
             if r.output_file:
                 write_facts(out[r.name].drop(PROV), r.output_file)

@@ -104,6 +104,7 @@ class Evaluation:
             rows = self.merged(self.full[name].unionByName(new), name) if not self._empty_input(name) else self.merged(new, name)
             # what several rules read, or a loop, is computed once
             self.full[name] = self.tables.write(rows, self.name(name)) if uses[name] > 1 and not plan.recursive else rows
+            self.raw.discard(name)
         self.iterations[plan.stratum.relations] = 1 if live else 0
         self._hooks(live, plan.stratum.relations, 0)
 
@@ -111,6 +112,8 @@ class Evaluation:
         return name in self.given_nothing
 
     given_nothing: set[str] = field(default_factory=set)
+    #: Relations of facts that may be repeated.
+    raw: set[str] = field(default_factory=set)
 
     def _packed(self, parts: dict[str, DataFrame], names: tuple[str, ...]) -> DataFrame:
         """Several relations as one table: __rel is the place in names; columns are shared by place and type."""
@@ -147,7 +150,8 @@ class Evaluation:
         inputs = {a.rel for v in plan.recursive for c in v.rule.body if (a := atom_of(c)) and a.rel not in names}
         for name in inputs:
             self.full[name] = self._stored(name)
-        start = self.tables.write(self._packed({n: self.full[n] for n in names}, names), self.name("start"))
+        start = self.tables.write(self._packed({n: self.full[n].distinct() if n in self.raw else self.full[n] for n in names}, names), self.name("start"))
+        self.raw -= set(names)
         segments = {n: [df] for n, df in self._unpacked(start, names).items()}
         self.full |= {n: s[0] for n, s in segments.items()}
         self.changed |= self.full
@@ -180,11 +184,14 @@ class Evaluation:
         self.changed.clear()
 
     def _stored(self, name: str) -> DataFrame:
-        """An input of a loop, computed once: as it is, if it only reads a source, and as a table else."""
+        """An input of a loop, computed once and kept as a table."""
         df = self.full[name]
         if name in self.settled:
             return df
         self.settled.add(name)
+        if name in self.raw:
+            self.raw.discard(name)
+            df = df.distinct()
         return self.tables.write(df, self.name(name))
 
     settled: set[str] = field(default_factory=set)
