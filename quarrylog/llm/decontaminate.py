@@ -9,6 +9,7 @@ neither shuffled nor compared in pairs.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -284,9 +285,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, cover
 
 
 def _cut(shared, window: int, numerator: int, denominator: int):
-    import re
-
-    word = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    word = re.compile(rb"[^ ]+")
 
     def cleaned(matcher: ItemMatcher, text: str | None) -> str | None:
         """The text without its hits; a lone surrogate stands for a document to drop."""
@@ -296,7 +295,7 @@ def _cut(shared, window: int, numerator: int, denominator: int):
             return text
         if denominator * sum(b - a for a, b in spans) >= numerator * len(words):
             return "\ud800"
-        at = [m.span() for m in word.finditer(raw)]
+        at = [m.span() for m in word.finditer(raw.translate(WORD_TABLE))]
         kept, last = [], 0
         for a, b in spans:
             kept.append(raw[last : at[a][0]])
