@@ -67,7 +67,7 @@ class WordTokenizer:
     to the tokenizer as they are.
     """
 
-    def __init__(self, path: str, most: int = 700_000):
+    def __init__(self, path: str, most: int = 500_000):
         from tokenizers import Tokenizer
 
         self.encode = Tokenizer.from_file(path)
