@@ -14,7 +14,7 @@ from quarrylog.llm.queries import TOKENIZER
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier scores 0.5 or more, learnt from labelled documents of this stage's input."""
+    """Documents that the classifier scores 0.7 or more, learnt from labelled documents of this stage's input."""
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.keep_good(docs, model)
 

@@ -150,7 +150,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float, float], threshold: fl
     return body.mapInArrow(run, schema(doc_id="long", held_out="boolean", score="double", predicted="int"))
 
 
-def keep_good(docs: DataFrame, model: tuple[np.ndarray, float, float], threshold: float = 0.5) -> DataFrame:
+def keep_good(docs: DataFrame, model: tuple[np.ndarray, float, float], threshold: float = 0.7) -> DataFrame:
     """The rows of docs that score `threshold` or more, with all their columns."""
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
