@@ -183,8 +183,8 @@ class LineIndex:
         keyed = self.frequent().withColumn("shard", F.pmod("k2", F.lit(shards)))
         return shards, keyed.repartition(shards, "shard").mapInArrow(run, schema(shard="long", table="binary"))
 
-    def apply(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-        """(doc_id, n_lines, n_dropped, kept_sha256, kept): the documents without lines that are frequent.
+    def apply(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", with_kept: bool = True) -> DataFrame:
+        """(doc_id, n_lines, n_dropped, kept_sha256, and kept, if asked for): the documents without lines that are frequent.
 
         Null text counts as one empty line, which never goes; its kept text is empty. Up to broadcast_keys frequent keys,
         the filters and these keys' hashes, some 20 bytes a key, go to every worker. Beyond, the filters stay on their shards:
@@ -199,14 +199,14 @@ class LineIndex:
             shards, tables = self.filters(n)
             keys = frequent.toPandas()
             shared = spark.sparkContext.broadcast((shards, [tuple(r) for r in tables.collect()], keys.k1.to_numpy(np.int64).tobytes(), keys.k2.to_numpy(np.int64).tobytes()))
-            return body.mapInArrow(_apply(shared), _KEPT)
+            return body.mapInArrow(_apply(shared, with_kept), _KEPT + ", kept string" * with_kept)
         body = body.withColumn("row", F.monotonically_increasing_id())
         asked = body.mapInArrow(_keys_of, schema(row="long", k1="long", k2="long"))
         found = asked.join(frequent, ["k1", "k2"], "left_semi").groupBy("row").agg(F.collect_list(F.struct("k1", "k2")).alias("drop"))
-        return body.join(found, "row", "left").mapInArrow(_apply(None), _KEPT)
+        return body.join(found, "row", "left").mapInArrow(_apply(None, with_kept), _KEPT + ", kept string" * with_kept)
 
 
-_KEPT = schema(doc_id="long", n_lines="long", n_dropped="long", kept_sha256="string", kept="string")
+_KEPT = schema(doc_id="long", n_lines="long", n_dropped="long", kept_sha256="string")
 
 
 def _keys_of(batches):
@@ -244,7 +244,7 @@ class _Lookup:
         return out
 
 
-def _apply(shared):
+def _apply(shared, with_kept: bool):
     def run(batches):
         lookup = _Lookup(*shared.value) if shared else None
         for batch in batches:
@@ -258,7 +258,7 @@ def _apply(shared):
                 drops = [{np.array([x["k1"], x["k2"]], np.int64).astype(">i8").tobytes() for x in own or []} for own in batch["drop"].to_pylist()]
             kept = [b"\n".join(line for line, d in zip(lines, own, strict=True) if d not in drop) for lines, own, drop in zip(bodies, digests, drops, strict=True)]
             lost = [sum(d in drop for d in own) for own, drop in zip(digests, drops, strict=True)]
-            yield batch_of({"doc_id": (batch["doc_id"], pa.int64()), "n_lines": (list(map(len, bodies)), pa.int64()), "n_dropped": (lost, pa.int64()), "kept_sha256": ([hashlib.sha256(k).hexdigest() for k in kept], pa.string()), "kept": ([k.decode(errors="replace") for k in kept], pa.string())})
+            yield batch_of({"doc_id": (batch["doc_id"], pa.int64()), "n_lines": (list(map(len, bodies)), pa.int64()), "n_dropped": (lost, pa.int64()), "kept_sha256": ([hashlib.sha256(k).hexdigest() for k in kept], pa.string())} | ({"kept": ([k.decode(errors="replace") for k in kept], pa.string())} if with_kept else {}))
 
     return run
 

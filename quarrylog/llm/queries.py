@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from . import decontaminate, extract, imatch, lines, packing, pii, quality, simhash, substrings, warc
 
@@ -31,7 +30,7 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return lines.LineIndex.build(docs).apply(docs).drop("kept")
+    return lines.LineIndex.build(docs).apply(docs, with_kept=False)
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
