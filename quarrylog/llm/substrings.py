@@ -279,7 +279,7 @@ def _keyed(docs: DataFrame, doc_id: str, text: str, scratch: Scratch) -> tuple[D
     return scratch.write(numbered.select((F.col("doc") * (1 << 16) + F.col("k")).alias("doc"), "text"), "keyed"), 16
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, gram: int = 24, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 50, gram: int = 28, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept): the documents without repeated bytes.
 
     A byte of the UTF-8 text goes if a string of `length` bytes over it also starts in a document with a smaller doc_id.
