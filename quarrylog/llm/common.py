@@ -50,16 +50,13 @@ class Scratch:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def bounded_batches(spark: SparkSession, rows: int = 2000, size: str = "16m") -> None:
-    """Keeps the Arrow batches sent to Python workers small, as one text may be megabytes long."""
+def bounded_batches(spark: SparkSession, rows: int = 500, size: str = "4m") -> None:
+    """Keeps the batches that are read from Parquet and sent to Python workers small, as one text may be megabytes long."""
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
-def as_long(df: DataFrame, name: str = "doc_id") -> DataFrame:
-    return df.withColumn(name, F.col(name).cast("long"))
-
-
 def texts(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key long, text binary): the two columns that a text operator reads, whatever else the table has."""
     return df.select(F.col(key).cast("long").alias(key), F.col(text).cast("string").cast("binary").alias(text))
