@@ -80,13 +80,11 @@ def fingerprint(terms: np.ndarray, band: np.ndarray) -> str:
         terms = terms[band[at] == terms]
     if not len(band) or not len(terms):
         return "0000" * (GRADES * EACH)
-    own, out = scrambled(terms + np.uint64(1)), np.empty((EACH, GRADES), np.uint64)
-    for k, salt in enumerate(_SALTS):
-        number = scrambled(terms * salt)
-        order = np.argsort(number)
-        sums = np.zeros(len(terms) + 1, np.uint64)
-        np.cumsum(own[order], out=sums[1:])
-        out[k] = sums[np.searchsorted(number[order], _BOUNDS, side="right")]
+    numbers = scrambled(terms[None, :] * _SALTS[:, None])
+    sums = np.zeros((EACH, len(terms) + 1), np.uint64)
+    np.cumsum(scrambled(terms + np.uint64(1))[np.argsort(numbers, axis=1)], axis=1, out=sums[:, 1:])
+    inside = (numbers[:, None, :] <= _BOUNDS[None, :, None]).sum(axis=2)
+    out = np.take_along_axis(sums, inside, axis=1)
     codes = np.where(out == 0, np.uint64(0), scrambled(out + np.uint64(7)) % np.uint64(65535) + np.uint64(1))
     return codes.T.astype(">u2").tobytes().hex()
 
@@ -96,14 +94,9 @@ def likeness(a: str, b: str) -> float:
     grade's subsets at least. 1 for equal fingerprints."""
     if a == b:
         return 1.0
-    most, size = 0.0, 4 * EACH
-    for j in range(0, len(a), size):
-        x, y = a[j : j + size], b[j : j + size]
-        pairs = [(x[i : i + 4], y[i : i + 4]) for i in range(0, size, 4)]
-        equal = sum(p == q != "0000" for p, q in pairs)
-        if equal:
-            most = max(most, equal / max(EACH // 2, sum(p != "0000" or q != "0000" for p, q in pairs)))
-    return most
+    x, y = (np.frombuffer(bytes.fromhex(v), ">u2").reshape(GRADES, EACH) for v in (a, b))
+    equal, told = ((x == y) & (x != 0)).sum(axis=1), ((x != 0) | (y != 0)).sum(axis=1)
+    return float((equal / np.maximum(told, EACH // 2)).max())
 
 
 def with_next(docs: DataFrame, per_partition: int = 16) -> DataFrame:
