@@ -9,6 +9,8 @@ lanes is abandoned as soon as every lane is over the radius.
 
 from __future__ import annotations
 
+from fractions import Fraction
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -18,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, Scratch, batch_of, bounded_batches, connected_components, schema, texts
-from .hashing import shingles_hashed, words_hashed
+from .hashing import scrambled, shingles_hashed, words_hashed
 
 BITS = 64
 
@@ -101,18 +103,12 @@ def _above(counters: list[int], radius: int) -> int:
     return above
 
 
-def linked(fps: np.ndarray, bucket: np.ndarray, radius: int) -> np.ndarray:
-    """For each fingerprint (a row of 64-bit words) the place of one that it reaches by links inside its bucket; the
-    same place for all that reach each other."""
+def _near(fps: np.ndarray, ids: np.ndarray, sizes: np.ndarray, radius: int, label: np.ndarray):
+    """(places i, shift) such that i and i + shift are in one bucket, within the radius, and of different labels; rows are
+    in order of falling bucket size. Labels may be changed between steps."""
     n = len(fps)
-    label = np.arange(n)
-    if n < 2:
-        return label
-    _, inverse, count = np.unique(bucket, return_inverse=True, return_counts=True)
-    order = np.lexsort((inverse, -count[inverse]))  # largest buckets first: a shift concerns a prefix of the rows
-    fps, ids, sizes = fps[order], inverse[order], count[inverse][order]
     held, planes = 2 * n + 1, None
-    for shift in range(1, int(sizes[0])):
+    for shift in range(1, int(sizes[0]) if n else 0):
         prefix = int(np.searchsorted(-sizes, -shift, side="left"))  # the rows in buckets of more than `shift`
         if prefix <= held // 2 or planes is None:
             held, planes = prefix, Planes(fps[:prefix])
@@ -123,49 +119,109 @@ def linked(fps: np.ndarray, bucket: np.ndarray, radius: int) -> np.ndarray:
         near = planes.near(shift, int.from_bytes(np.packbits(asked, bitorder="little").tobytes(), "little"), radius)
         if near:
             bits = np.unpackbits(np.frombuffer(near.to_bytes((prefix + 7) // 8, "little"), np.uint8), bitorder="little")
-            for i in np.nonzero(bits)[0].tolist():
-                a, b = i, i + shift
-                while label[a] != a:
-                    a = label[a]
-                while label[b] != b:
-                    b = label[b]
-                label[max(a, b)] = min(a, b)
-            while not np.array_equal(label, deeper := label[label]):
-                label = deeper
+            yield np.nonzero(bits)[0], shift
+
+
+def _by_size(bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, bucket numbers, sizes), the largest buckets first: a shift concerns a prefix of the rows."""
+    _, inverse, count = np.unique(bucket, return_inverse=True, return_counts=True)
+    order = np.lexsort((inverse, -count[inverse]))
+    return order, inverse[order], count[inverse][order]
+
+
+def _join(label: np.ndarray, places: np.ndarray, shift: int) -> list[int]:
+    """Joins the labels of i and i + shift; the places i whose pair joined two that were apart."""
+    made = []
+    for i in places.tolist():
+        a, b = i, i + shift
+        while label[a] != a:
+            a = label[a]
+        while label[b] != b:
+            b = label[b]
+        if a != b:
+            label[max(a, b)] = min(a, b)
+            made.append(i)
+    while not np.array_equal(label, deeper := label[label]):
+        label[:] = deeper
+    return made
+
+
+def linked(fps: np.ndarray, bucket: np.ndarray, radius: int) -> np.ndarray:
+    """For each fingerprint (a row of 64-bit words) the place of one that it reaches by links inside its bucket; the
+    same place for all that reach each other."""
+    n = len(fps)
+    label = np.arange(n)
+    if n < 2:
+        return label
+    order, ids, sizes = _by_size(bucket)
+    for places, shift in _near(fps[order], ids, sizes, radius, label):
+        _join(label, places, shift)
     out = np.empty(n, np.int64)
     out[order] = order[label]
     return out
 
 
+def near_pairs(fps: np.ndarray, bucket: np.ndarray, radius: int, label: np.ndarray | None = None):
+    """Arrays of places (a, b) that share a bucket and lie within the radius: all pairs of different labels, or, without labels,
+    as many as span what they link."""
+    order, ids, sizes = _by_size(bucket)
+    joined = np.arange(len(fps)) if label is None else label[order]
+    for places, shift in _near(fps[order], ids, sizes, radius, joined):
+        if label is None:
+            places = np.array(_join(joined, places, shift), np.int64)
+        yield order[places], order[places + shift]
+
+
+def _buckets(batches, words: int, *more: str):
+    """(fingerprints, bucket numbers, further columns) of the rows (t, key, tile, rep, ...) that are not alone in a bucket."""
+    parts = [b for b in batches if b.num_rows]
+    if not parts:
+        return None
+    table = pa.Table.from_batches(parts)
+    t, key, tile, rep, *fp = (table[c].to_numpy() for c in ("t", "key", "tile", "rep", *(f"fp{k}" for k in range(words))))
+    order = np.lexsort((rep, tile, key, t))
+    t, key, tile = (x[order] for x in (t, key, tile))
+    fps = np.stack([x[order] for x in fp], axis=1).view(np.uint64)
+    bucket = np.cumsum(np.r_[0, (t[1:] != t[:-1]) | (key[1:] != key[:-1]) | (tile[1:] != tile[:-1])])
+    full = np.bincount(bucket)[bucket] > 1
+    return fps[full], bucket[full], *(table[c].to_numpy()[order][full] for c in ("rep", *more))
+
+
 def _bucket_links(radius: int, words: int):
     """Spanning links inside each bucket (t, key, tile) of a partition, as pairs of representatives."""
 
     def run(batches):
-        parts = [b for b in batches if b.num_rows]
-        if not parts:
+        if not (found := _buckets(batches, words)):
             return
-        table = pa.Table.from_batches(parts)
-        t, key, tile, rep, *fp = (table[c].to_numpy() for c in ("t", "key", "tile", "rep", *(f"fp{k}" for k in range(words))))
-        order = np.lexsort((rep, tile, key, t))
-        t, key, tile, rep = (x[order] for x in (t, key, tile, rep))
-        fps = np.stack([x[order] for x in fp], axis=1).view(np.uint64)
-        bucket = np.cumsum(np.r_[0, (t[1:] != t[:-1]) | (key[1:] != key[:-1]) | (tile[1:] != tile[:-1])])
-        full = np.bincount(bucket)[bucket] > 1
-        rep, fps = rep[full], fps[full]
-        root = linked(fps, bucket[full], radius)
+        fps, bucket, rep = found
+        root = linked(fps, bucket, radius)
         link = root != np.arange(len(root))
         yield batch_of({"a": (rep[link], pa.int64()), "b": (rep[root[link]], pa.int64())})
 
     return run
 
 
-def _classes(reps: DataFrame, keys: list, radius: int, words: int, n: int, tile: int, scratch: Scratch) -> DataFrame:
-    """(node, component) of representatives (rep, fp0, ...) that share one of the keys and lie within the radius."""
+def _bucket_pairs(radius: int, words: int, labelled: bool):
+    """Pairs of representatives (a < b) inside each bucket that lie within the radius: all of different components, or those that span."""
+
+    def run(batches):
+        if not (found := _buckets(batches, words, *["component"] * labelled)):
+            return
+        fps, bucket, rep, *label = found
+        for i, j in near_pairs(fps, bucket, radius, *label):
+            a, b = np.minimum(rep[i], rep[j]), np.maximum(rep[i], rep[j])
+            for at in range(0, len(a), 1 << 16):
+                yield batch_of({"a": (a[at : at + (1 << 16)], pa.int64()), "b": (b[at : at + (1 << 16)], pa.int64())})
+
+    return run
+
+
+def _dealt(reps: DataFrame, keys: list, n: int, tile: int, scratch: Scratch, name: str = "hot") -> DataFrame:
+    """Rows of reps once for each key and tile, (t, key, tile, ...), dealt to partitions by these."""
     spark = scratch.spark
-    fps = [f"fp{k}" for k in range(words)]
-    spread = reps.select("rep", *fps, F.posexplode(F.array(*keys)).alias("t", "key"))
+    spread = reps.select(*(c for c in reps.columns if c != "keys"), F.posexplode(F.array(*keys)).alias("t", "key"))
     hot = spread.groupBy("t", "key").count().where(F.col("count") > tile).select("t", "key", F.ceil(F.col("count") / tile).cast("int").alias("tiles"))
-    hot = scratch.write(hot, "hot")
+    hot = scratch.write(hot, name)
     if hot.isEmpty():
         tiled = spread.withColumn("tile", F.lit(0))
     else:
@@ -173,7 +229,13 @@ def _classes(reps: DataFrame, keys: list, radius: int, words: int, n: int, tile:
         tiled = spread.join(hot, ["t", "key"], "left").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
         tiled = tiled.withColumn("tile", F.explode(F.when(F.col("tiles").isNull(), F.array(F.lit(0))).otherwise(pairs))).drop("tiles", "own")
     deal = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n * len(keys) // 2_000_000)
-    links = tiled.repartition(deal, "t", "key", "tile").mapInArrow(_bucket_links(radius, words), schema(a="long", b="long"))
+    return tiled.repartition(deal, "t", "key", "tile")
+
+
+def _classes(reps: DataFrame, keys: list, radius: int, words: int, n: int, tile: int, scratch: Scratch) -> DataFrame:
+    """(node, component) of representatives (rep, fp0, ...) that share one of the keys and lie within the radius."""
+    tiled = _dealt(reps.select("rep", *(f"fp{k}" for k in range(words))), keys, n, tile, scratch)
+    links = tiled.mapInArrow(_bucket_links(radius, words), schema(a="long", b="long"))
     return connected_components(links, scratch)
 
 
@@ -214,11 +276,18 @@ WIDE = 4
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
 
+def shingle_set(text: bytes | None, shingle: int = 5) -> np.ndarray:
+    """The distinct shingles of a text as sorted 64-bit hashes."""
+    return np.unique(shingles_hashed(words_hashed(text), shingle))
+
+
 def wide_fingerprint(text: bytes | None, shingle: int = 5) -> np.ndarray | None:
     """A fingerprint of WIDE words over the distinct shingles; None if there are no words."""
-    hashes = np.unique(shingles_hashed(words_hashed(text), shingle))
-    if not len(hashes):
-        return None
+    hashes = shingle_set(text, shingle)
+    return _wide(hashes) if len(hashes) else None
+
+
+def _wide(hashes: np.ndarray) -> np.ndarray:
     counts = np.zeros((WIDE, BITS), np.int64)
     for start in range(0, len(hashes), 1 << 14):
         part = hashes[start : start + (1 << 14)]
@@ -229,54 +298,117 @@ def wide_fingerprint(text: bytes | None, shingle: int = 5) -> np.ndarray | None:
     return np.packbits(2 * counts > len(hashes), axis=1, bitorder="little").view("<u8").reshape(-1)
 
 
-def wide_radius(similarity: float) -> int:
-    """The distance of wide fingerprints at which shingle sets of this Jaccard similarity lie, and two standard
+def wide_radius(similarity: float, sigmas: float = 2) -> int:
+    """The distance of wide fingerprints at which shingle sets of this Jaccard similarity lie, and so many standard
     deviations of it: the cosine of two sets of like size is 2J / (1 + J), and a bit differs with probability angle / pi."""
     p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
     n = BITS * WIDE
-    return int(n * p + 2 * np.sqrt(n * p * (1 - p)))
+    return int(n * p + sigmas * np.sqrt(n * p * (1 - p)))
 
 
-def wide_keys(n: int, similarity: float, miss: float = 0.01, most: int = 64) -> list[list[int]]:
-    """Samples of bits that serve as bucket keys: so many that documents at the similarity share none with probability
-    `miss`, of so many bits that an evenly spread bucket has about `most` of n."""
-    p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    bits = max(12, (max(1, n) // most).bit_length())
-    tables = int(np.ceil(np.log(miss) / np.log1p(-((1 - p) ** bits))))
-    draw = np.random.default_rng(7)
-    return [sorted(draw.choice(BITS * WIDE, bits, replace=False).tolist()) for _ in range(tables)]
+#: Bits beyond the mean distance at the similarity, in standard deviations, up to which a pair is a candidate: also in
+#: small sets (4 of 5 shingles differ in 48 bits on average, not 39) all but one pair in about 100,000 lies within.
+_WIDER = 6.5
+#: A key is made of so many least shingles: two sets share it with probability similarity ** ROWS, whatever their size.
+ROWS = 5
+
+
+@lru_cache
+def _orders(n: int) -> np.ndarray:
+    """Odd multipliers, each of which puts uniform hashes in an order of its own."""
+    return (np.random.default_rng(11).integers(1 << 40, 1 << 63, (n, 1), dtype=np.uint64) | np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+
+
+def least_keys(hashes: np.ndarray, tables: int) -> np.ndarray:
+    """`tables` keys of a set of shingles: each mixes the least of its shingles under ROWS different orders."""
+    orders = _orders(tables * ROWS)
+    least = np.full(len(orders), np.iinfo(np.uint64).max, np.uint64)
+    for start in range(0, len(hashes), 256):
+        np.minimum(least, (hashes[start : start + 256] * orders).min(axis=1), out=least)
+    return _mixed(least.reshape(tables, ROWS))
+
+
+def _mixed(rows: np.ndarray) -> np.ndarray:
+    x = rows[:, 0]
+    for k in range(1, rows.shape[1]):
+        x = x * np.uint64(0x9FB21C651E98DF25) + rows[:, k]
+    return scrambled(x)
+
+
+def tables_for(similarity: float, miss: float = 1e-4) -> int:
+    """So many keys that sets at the similarity share none with probability `miss` at most."""
+    return int(np.ceil(np.log(miss) / np.log1p(-min(similarity**ROWS, 1 - 1e-9))))
+
+
+def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two sorted sets have a Jaccard similarity of `similarity` or more."""
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    numerator, denominator = Fraction(str(similarity)).as_integer_ratio()
+    return denominator * common >= numerator * (len(a) + len(b) - common)
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of doc_ids with rows whose shingle sets are alike, held against each other in full."""
+
+    def sets(batches):
+        for batch in batches:
+            yield batch_of({"node": (batch["doc_id"], pa.int64()), "own": ([shingle_set(t, shingle).tobytes() for t in batch["text"].to_pylist()], pa.binary())})
+
+    def check(batches):
+        for batch in batches:
+            a, b, left, right = (batch[c].to_pylist() for c in ("a", "b", "left", "right"))
+            good = [any(alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), similarity) for x in xs if x for y in ys if y) for xs, ys in zip(left, right, strict=True)]
+            yield batch_of({"a": ([x for x, g in zip(a, good, strict=True) if g], pa.int64()), "b": ([x for x, g in zip(b, good, strict=True) if g], pa.int64())})
+
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    found = texts(docs).join(nodes, "doc_id", "left_semi").mapInArrow(sets, schema(node="long", own="binary"))
+    found = found.groupBy("node").agg(F.collect_set("own").alias("own"))  # repeated doc_ids may have several
+    left, right = (found.select(F.col("node").alias(c), F.col("own").alias(side)) for c, side in (("a", "left"), ("b", "right")))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(check, schema(a="long", b="long"))
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, tile: int = 4096) -> DataFrame:
     """docs with one document, that of the smallest doc_id, of each group of near-duplicates; all columns stay.
 
-    Near-duplicates have a Jaccard similarity of `similarity` or more on distinct word shingles, as the distance of
-    their wide fingerprints tells it; groups are what such links join. A 64-bit fingerprint at 3 bits would only find
-    similarities of some 0.97 and more, so these are of 256 bits and share a sampled key with probability 0.99. Documents
-    without words stay, as do rows with a null doc_id. Repeated rows of a doc_id stay or go together.
+    Near-duplicates have a Jaccard similarity of `similarity` or more on distinct word shingles; groups are what such links
+    join. Candidates share a key of least shingles, of which a pair at the similarity has none with probability 0.0001,
+    and have wide fingerprints within a radius that is far beyond that of the similarity; each is then held against the other on its
+    whole set of shingles (64-bit hashes), so no pair below the similarity is linked. Equal sets are one node. Nodes
+    that a first round of spanning candidates joins are not compared again. Documents without words stay, as do rows with a null doc_id.
+    Repeated rows of a doc_id stay or go together.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     scratch = Scratch(spark)
-    fps = [f"fp{k}" for k in range(WIDE)]
+    fps, tables = [f"fp{k}" for k in range(WIDE)], tables_for(similarity)
 
     def run(batches):
         for batch in batches:
-            found = [(d, f) for d, t in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True) if d is not None and (f := wide_fingerprint(t, shingle)) is not None]
-            ids, words = [d for d, _ in found], np.array([f for _, f in found], np.uint64).reshape(-1, WIDE).view(np.int64)
-            yield batch_of({"doc_id": (ids, pa.int64())} | {c: (words[:, k], pa.int64()) for k, c in enumerate(fps)})
-
-    own = scratch.write(texts(docs).mapInArrow(run, schema(doc_id="long", **dict.fromkeys(fps, "long"))), "wide")
-    reps = scratch.write(own.groupBy(*fps).agg(F.min("doc_id").alias("rep")), "reps")
+            ids, marks, words, keys = [], [], [], []
+            for d, t in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
+                if d is not None and len(hashes := shingle_set(t, shingle)):
+                    ids.append(d)
+                    marks.append(xxhash.xxh3_128_digest(hashes.tobytes()))
+                    words.append(_wide(hashes))
+                    keys.append(least_keys(hashes, tables).view(np.int64))
+            words = np.array(words, np.uint64).reshape(-1, WIDE).view(np.int64)
+            yield batch_of({"doc_id": (ids, pa.int64()), "mark": (marks, pa.binary()), "keys": (keys, pa.list_(pa.int64()))} | {c: (words[:, k], pa.int64()) for k, c in enumerate(fps)})
+
+    own = scratch.write(texts(docs).mapInArrow(run, schema(doc_id="long", mark="binary", keys="array<long>", **dict.fromkeys(fps, "long"))), "wide")
+    least = own.groupBy("mark").agg(F.min("doc_id").alias("rep"))
+    reps = scratch.write(own.join(least, "mark").where("doc_id = rep").dropDuplicates(["mark"]).select("mark", "rep", "keys", *fps), "reps")
     n = reps.count()
-    keys = []
-    for bits in wide_keys(n, similarity):
-        key = F.lit(0).cast("long")
-        for k, b in enumerate(bits):
-            key = key.bitwiseOR(F.shiftleft(F.shiftrightunsigned(fps[b // BITS], b % BITS).bitwiseAND(F.lit(1).cast("long")), k))
-        keys.append(key)
-    found = _classes(reps, keys, wide_radius(similarity), WIDE, n, tile, scratch)
-    copies = own.join(reps, fps).where("doc_id <> rep").select("doc_id")
-    linked_to = found.where("node <> component").select("node")
-    extra = scratch.write(copies.union(linked_to).distinct().withColumnRenamed("doc_id", "__extra"), "extra")
+    keys = [F.col("keys")[k] for k in range(tables)]
+    nodes = reps.select("rep", "keys", *fps)
+    first = _dealt(nodes, keys, n, tile, scratch).select("t", "key", "tile", "rep", *fps).mapInArrow(_bucket_pairs(wide_radius(similarity, 0), WIDE, False), schema(a="long", b="long"))
+    pairs = scratch.write(first.where("a <> b").distinct(), "pairs0")
+    links = scratch.write(_verified(pairs, docs, shingle, similarity), "links0")
+    known = scratch.write(connected_components(links, scratch, "cc0_"), "known")
+    nodes = nodes.join(known, nodes.rep == known.node, "left").select("rep", "keys", *fps, F.coalesce("component", "rep").alias("component"))
+    second = _dealt(nodes, keys, n, tile, scratch, "hot1").select("t", "key", "tile", "rep", "component", *fps).mapInArrow(_bucket_pairs(wide_radius(similarity, _WIDER), WIDE, True), schema(a="long", b="long"))
+    pairs = scratch.write(second.where("a <> b").distinct(), "pairs1")
+    links = links.union(scratch.write(_verified(pairs, docs, shingle, similarity), "links1"))
+    same = own.join(reps.select("mark", "rep"), "mark").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    found = connected_components(links.union(same), scratch)
+    extra = scratch.write(found.where("node <> component").select(F.col("node").alias("__extra")).distinct(), "extra")
     return docs.join(extra, docs.doc_id == extra["__extra"], "left_anti")

@@ -183,6 +183,52 @@ def test_wide_fingerprints_find_similar_texts():
     assert near / total_near > 0.9 and far / total_far < 0.02
 
 
+def like(a, b):
+    a, b = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.lower().split(), b.lower().split()))
+    return len(a & b) / len(a | b)
+
+
+def kept_by_hand(texts, least):
+    """The places of the first text of each group that links of `least` or more join."""
+    label = list(range(len(texts)))
+    for i, a in enumerate(texts):
+        for j, b in enumerate(texts[:i]):
+            if label[i] != label[j] and like(a, b) >= least:
+                x, y = sorted((label[i], label[j]))
+                label = [x if v == y else v for v in label]
+    return [i for i, v in enumerate(label) if i == v]
+
+
+@pytest.mark.parametrize("size", [9, 24, 300])
+@pytest.mark.parametrize("tile", [4096, 8])
+def test_near_copies_are_those_at_the_similarity(spark, size, tile):
+    """Pairs at the limit and just below, short and long, and chains of them: all of the first are found and none of the second."""
+    draw, texts = random.Random(size), []
+    for k in range(60):
+        w = [f"w{draw.randrange(10**6)}" for _ in range(size)]
+        n = size - 4
+        cut = -(-4 * n // 5) + 4  # the first words, so that the pair lies at 0.8 or the next place above
+        texts += [" ".join(w), " ".join(w[: cut if k % 2 else cut - 1])]
+        if k % 3 == 0 and size > 9:
+            texts.append(" ".join(w[: cut - 1][: -(-4 * (cut - 5) // 5) + 4]))  # alike to the second only
+    expected = kept_by_hand(texts, 0.8)
+    assert 60 < len(expected) < len(texts) - 20
+    assert sorted(r.doc_id for r in simhash.keep_one(documents(spark, texts), 5, 0.8, tile).collect()) == expected
+
+
+def test_recall_of_candidates_at_the_similarity():
+    """Pairs at 0.8 that share a key and lie within the radius, of sets of 4 and 5 to 400 and 500 shingles: all of 1500."""
+    draw, found = np.random.default_rng(3), 0
+    tables, radius = simhash.tables_for(0.8), simhash.wide_radius(0.8, simhash._WIDER)
+    for k in range(1500):
+        n = (5, 50, 500)[k % 3]
+        both = draw.integers(0, 1 << 63, n, dtype=np.uint64)
+        a, b = np.unique(both), np.unique(both[: n * 4 // 5])
+        key = (simhash.least_keys(a, tables) == simhash.least_keys(b, tables)).any()
+        found += bool(key and builtins_sum(int(x ^ y).bit_count() for x, y in zip(simhash._wide(a).tolist(), simhash._wide(b).tolist(), strict=True)) <= radius)
+    assert found == 1500
+
+
 def plain_lines(texts, least):
     def key(line):
         return "".join(c.lower() if "A" <= c <= "Z" else c for c in line.strip("\x20\x09\x0a\x0b\x0c\x0d"))
