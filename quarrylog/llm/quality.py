@@ -84,12 +84,20 @@ class FtrlModel:
 
 def train(examples, bits: int = 18, passes: int = 3, scale: float = 8.0, **more) -> tuple[np.ndarray, float, float]:
     """(weights, bias, scale) from [(text, label)], in the order given, the classes weighed to count alike (at most 3 times)."""
-    features, model = Features(bits), FtrlModel(bits, **more)
-    rows = []
-    for text, label in examples:
-        places, shares = features(text)
-        distinct, inverse = np.unique(places, return_inverse=True)
-        rows.append((distinct.astype(np.int32), (scale * np.bincount(inverse, shares)).astype(np.float32), int(label)))
+    features = Features(bits)
+    return train_sparse([(*sparse(features, text, scale), int(label)) for text, label in examples], bits, passes, scale, **more)
+
+
+def sparse(features: Features, text: str | None, scale: float = 8.0) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct places, values) of a whole text."""
+    places, shares = features(text)
+    distinct, inverse = np.unique(places, return_inverse=True)
+    return distinct.astype(np.int32), (scale * np.bincount(inverse, shares)).astype(np.float32)
+
+
+def train_sparse(rows: list[tuple[np.ndarray, np.ndarray, int]], bits: int = 18, passes: int = 3, scale: float = 8.0, **more) -> tuple[np.ndarray, float, float]:
+    """The same from [(places, values, label)]."""
+    model = FtrlModel(bits, **more)
     ones = sum(label for *_, label in rows)
     weigh = {1: 1.0, 0: min(3.0, max(1.0, ones / max(1, len(rows) - ones)))}
     order = np.random.default_rng(1)
@@ -110,15 +118,26 @@ def training_rows(docs: DataFrame, labels: DataFrame, bound: int = 5000, label:
     return body.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, bound: int = 5000, chars: int = 20_000, **more) -> tuple[np.ndarray, float, float]:
-    """The model from a bounded sample of labelled rows, of `bound` documents; of a text over `chars` the start is learnt from.
+def fit(docs: DataFrame, labels: DataFrame, bound: int = 5000, **more) -> tuple[np.ndarray, float, float]:
+    """The model from a bounded sample of labelled rows, of `bound` documents.
 
+    Workers turn each whole text into its places and values, and only these come to the driver.
     Without any usable row the model scores everything 0.5.
     """
-    rows = training_rows(docs, labels, bound).select("doc_id", F.substring("text", 1, chars).alias("text"), "label").collect()
+    bounded_batches(docs.sparkSession)
+    bits, scale = more.get("bits", 18), more.get("scale", 8.0)
+
+    def run(batches):
+        features = Features(bits)
+        for batch in batches:
+            found = [sparse(features, t, scale) for t in batch["text"].to_pylist()]
+            yield batch_of({"doc_id": (batch["doc_id"], pa.int64()), "label": (batch["label"], pa.int32()), "places": ([p.tobytes() for p, _ in found], pa.binary()), "values": ([v.tobytes() for _, v in found], pa.binary())})
+
+    rows = training_rows(docs, labels, bound).mapInArrow(run, schema(doc_id="long", label="int", places="binary", values="binary")).collect()
     if not rows:
-        return np.zeros(1 << more.get("bits", 18), np.float32), 0.0, 1.0
-    return train([(r.text, r.label) for r in sorted(rows, key=lambda r: zlib.crc32(str(r.doc_id).encode()))], **more)
+        return np.zeros(1 << bits, np.float32), 0.0, 1.0
+    rows = sorted(rows, key=lambda r: zlib.crc32(str(r.doc_id).encode()))
+    return train_sparse([(np.frombuffer(bytes(r.places), np.int32), np.frombuffer(bytes(r["values"]), np.float32), r.label) for r in rows], **more)
 
 
 def scorer(model: tuple[np.ndarray, float, float]):

@@ -543,3 +543,15 @@ def test_hashes_are_the_same_anywhere():
     assert len(set(hashing.words_hashed(long).tolist())) == 1
     grams = hashing.grams_hashed(np.frombuffer(b"abcabcab", np.uint8), 3)
     assert grams[0] == grams[3] and grams[1] == grams[4] and len(set(grams.tolist())) == 3
+
+
+def test_quality_learns_from_whole_texts(spark):
+    tail = {0: " bad junk spam" * 40, 1: " good plain prose" * 40}
+    texts = ["same words here " * 1500 + tail[k % 2] for k in range(40)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id bigint, quality int")
+    weights, bias, scale = quality.fit(documents(spark, texts), labels)
+    rows = sorted((r.doc_id for r in quality.training_rows(documents(spark, texts), labels).collect()), key=lambda d: zlib.crc32(str(d).encode()))
+    whole = quality.train([(texts[d], d % 2) for d in rows])
+    assert np.array_equal(weights, whole[0]) and (bias, scale) == whole[1:]
+    of = quality.scorer((weights, bias, scale))
+    assert min(of(t) for t in texts[1::2]) > max(of(t) for t in texts[::2])
