@@ -42,7 +42,7 @@ _BYTE = [chr(b) if b in _PRINTS else chr(256 + b - sum(p < b for p in _PRINTS))
 
 
 #: A sign before a comma or full stop that ends a piece; without any, these can be pieces of their own.
-_SIGNS_END = re.compile(r"[^\w\s][,.][ \n]")
+_SIGNS_END = re.compile(f"[^{_SPACES}{_class('L')}{_class('N')}][,.][ \n]")
 
 
 class _Pieces(dict):
@@ -86,7 +86,9 @@ class WordTokenizer:
             return b""
         if _OTHER.search(text) or "<|" in text:
             return b"".join(map(self.raw.__getitem__, text.replace("\n", " ").split(" ")))
-        apart = text.lower() if _SIGNS_END.search(text) else text.lower().replace(", ", " , ").replace(". ", " . ").replace(".\n", " . ")
+        apart = text.lower()
+        if not _SIGNS_END.search(apart):
+            apart = apart.replace(", ", " , ").replace(". ", " . ").replace(".\n", " . ")
         return b"".join(map(self.plain.__getitem__, apart.replace("\n", " ").split(" ")))
 
 

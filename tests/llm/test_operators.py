@@ -555,3 +555,11 @@ def test_quality_learns_from_whole_texts(spark):
     assert np.array_equal(weights, whole[0]) and (bias, scale) == whole[1:]
     of = quality.scorer((weights, bias, scale))
     assert min(of(t) for t in texts[1::2]) > max(of(t) for t in texts[::2])
+
+
+@pytest.mark.parametrize("text", ["the _word_, next", "a snake_. b", "x_.\ny", "q\x1c, r \x1f. s", "\u0130, a. \u0130. b"])
+def test_signs_before_commas_are_one_piece(text):
+    from tokenizers import Tokenizer
+
+    expected = Tokenizer.from_file(TOKENIZER).encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(packing.WordTokenizer(TOKENIZER)(text), "<u4").tolist() == expected
