@@ -255,7 +255,7 @@ def _apply(shared, with_kept: bool):
                 drop = {distinct[i] for i in np.nonzero(lookup(*_hashes(distinct)))[0]} if distinct else set()
                 drops = [drop] * len(bodies)
             else:
-                drops = [{np.array([x["k1"], x["k2"]], np.int64).astype(">i8").tobytes() for x in own or []} for own in batch["drop"].to_pylist()]
+                drops = _listed(batch["drop"])
             kept = [b"\n".join(line for line, d in zip(lines, own, strict=True) if d not in drop) for lines, own, drop in zip(bodies, digests, drops, strict=True)]
             lost = [sum(d in drop for d in own) for own, drop in zip(digests, drops, strict=True)]
             yield batch_of({"doc_id": (batch["doc_id"], pa.int64()), "n_lines": (list(map(len, bodies)), pa.int64()), "n_dropped": (lost, pa.int64()), "kept_sha256": ([hashlib.sha256(k).hexdigest() for k in kept], pa.string())} | ({"kept": ([k.decode(errors="replace") for k in kept], pa.string())} if with_kept else {}))
@@ -263,12 +263,12 @@ def _apply(shared, with_kept: bool):
     return run
 
 
-def drop_frequent_lines(docs: DataFrame, min_docs: int = 10) -> DataFrame:
+def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, **more) -> DataFrame:
     """docs with text (and n_chars, if there is one) after the frequent lines went; all rows and columns stay.
 
     Null and empty texts stay as they are. A document may be left with an empty text.
     """
-    index = LineIndex.build(docs, min_docs)
+    index = LineIndex.build(docs, min_docs, **more)
     n = index.scratch.write(index.frequent(), "frequent").count()
     if n > index.broadcast_keys:
         return _by_join(docs, index)
@@ -278,18 +278,33 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = 10) -> DataFrame:
     keys = index.frequent().toPandas()
     shared = spark.sparkContext.broadcast((shards, [tuple(r) for r in tables.collect()], keys.k1.to_numpy(np.int64).tobytes(), keys.k2.to_numpy(np.int64).tobytes()))
 
+    return docs.mapInArrow(_without(shared, docs.columns), docs.schema)
+
+
+def _without(shared, columns: list[str]):
+    """Rows of `columns` without the frequent lines: those that the broadcast index has, or that column __drop lists."""
+
     def run(batches):
-        lookup = _Lookup(*shared.value)
+        lookup = _Lookup(*shared.value) if shared else None
         for batch in batches:
             olds = batch["text"].to_pylist()
             lines = [t.split("\n") if t else [] for t in olds]
             digests = [[key_hash(k) if (k := line_key(x.encode())) else None for x in own] for own in lines]
-            distinct = list({d for own in digests for d in own if d})
-            drop = {distinct[i] for i in np.nonzero(lookup(*_hashes(distinct)))[0]} if distinct else set()
-            new = [t if not t else "\n".join(x for x, d in zip(own, ds, strict=True) if d not in drop) for t, own, ds in zip(olds, lines, digests, strict=True)]
-            yield pa.RecordBatch.from_arrays([_replaced(f, c, new) for f, c in zip(batch.schema, batch.columns, strict=True)], schema=batch.schema)
+            if lookup:
+                distinct = list({d for own in digests for d in own if d})
+                drops = [{distinct[i] for i in np.nonzero(lookup(*_hashes(distinct)))[0]} if distinct else set()] * len(olds)
+            else:
+                drops = _listed(batch["__drop"])
+            new = [t if not t else "\n".join(x for x, d in zip(own, ds, strict=True) if d not in drop) for t, own, ds, drop in zip(olds, lines, digests, drops, strict=True)]
+            fields = [batch.schema.field(c) for c in columns]
+            yield pa.RecordBatch.from_arrays([_replaced(f, batch[f.name], new) for f in fields], schema=pa.schema(fields))
+
+    return run
 
-    return docs.mapInArrow(run, docs.schema)
+
+def _listed(column) -> list[set[bytes]]:
+    """Each row's list of key hashes (k1, k2) as digests."""
+    return [{np.array([x["k1"], x["k2"]], np.int64).astype(">i8").tobytes() for x in own or []} for own in column.to_pylist()]
 
 
 def _replaced(field, column, new):
@@ -301,11 +316,9 @@ def _replaced(field, column, new):
 
 
 def _by_join(docs: DataFrame, index: LineIndex) -> DataFrame:
-    """The same for more frequent keys than can be broadcast; doc_id must then tell the documents apart."""
-    kept = index.apply(docs).select(F.col("doc_id").alias("__id"), F.col("kept").alias("__kept")).dropDuplicates(["__id"])
-    joined = docs.join(kept, docs.doc_id == kept["__id"], "left")
-    new = F.when(F.col("text").isNull(), F.col("text")).otherwise(F.coalesce("__kept", "text"))
-    out = joined.withColumn("text", new)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    """The same for more frequent keys than can be broadcast: rows are numbered and written once, and each gets its own drop list."""
+    bounded_batches(docs.sparkSession)
+    rows = index.scratch.write(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    asked = rows.select(F.col("__row").alias("row"), F.col("text").cast("string").cast("binary").alias("text")).mapInArrow(_keys_of, schema(row="long", k1="long", k2="long"))
+    found = asked.join(index.frequent(), ["k1", "k2"], "left_semi").groupBy(F.col("row").alias("__row")).agg(F.collect_list(F.struct("k1", "k2")).alias("__drop"))
+    return rows.join(found, "__row", "left").mapInArrow(_without(None, docs.columns), docs.schema)

@@ -563,3 +563,12 @@ def test_signs_before_commas_are_one_piece(text):
 
     expected = Tokenizer.from_file(TOKENIZER).encode(text, add_special_tokens=False).ids
     assert np.frombuffer(packing.WordTokenizer(TOKENIZER)(text), "<u4").tolist() == expected
+
+
+@pytest.mark.parametrize("ids", [None, "null", "repeated"])
+def test_frequent_lines_go_by_join_as_by_broadcast(spark, texts, ids):
+    own = None if ids is None else [None] * len(texts) if ids == "null" else [k % 3 for k in range(len(texts))]
+    docs = documents(spark, texts, own)
+    small, large = (lines.drop_frequent_lines(docs, 10, broadcast_keys=n).collect() for n in (1000, 0))
+    order = lambda rows: sorted(rows, key=repr)
+    assert order(large) == order(small) != order(docs.collect()) and len(large) == len(texts)
