@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, bounded_batches, schema, texts
+from .common import Scratch, batch_of, bounded_batches, schema, texts
 
 #: Every ASCII byte that is no digit or letter separates words; A-Z become a-z. Bytes from 0x80 on belong to words.
 WORD_TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -253,12 +253,7 @@ def _finished(numerator: int, denominator: int):
         for batch in batches:
             found = []
             for doc, n, ids, spans in zip(*(batch[c].to_pylist() for c in ("doc_id", "n_words", "ids", "spans")), strict=True):
-                merged: list[tuple[int, int]] = []
-                for s in spans:
-                    if merged and s["start"] <= merged[-1][1]:
-                        merged[-1] = (merged[-1][0], max(merged[-1][1], s["end"]))
-                    else:
-                        merged.append((s["start"], s["end"]))
+                merged = _merged(spans)
                 found.append((doc, n, _verdict(n, merged, set(ids), numerator, denominator), merged))
             yield _rows(found)
 
@@ -269,30 +264,50 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, cover
     """docs without documents whose hit words reach `coverage`, and without the hit spans of the others.
 
     All columns of docs stay; text loses the bytes from the first to the last character of each hit run, and n_chars,
-    if there is one, follows it. Documents without a hit, null and empty texts are returned as they are. The items must
-    fit max_bytes (they are broadcast); contamination() has the way for larger ones.
+    if there is one, follows it. Documents without a hit, null and empty texts are returned as they are. Items over max_bytes
+    are matched in blocks, each against the whole texts; the spans of all blocks are merged, judged and cut once.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     items = benchmark.select(F.col("item_id").cast("string").alias("id"), F.col("text").cast("string").cast("binary").alias("text"))
     blocks = item_blocks(items, max_bytes, "id", "text")
     numerator, denominator = coverage.as_integer_ratio() if coverage != 0.05 else (1, 20)
-    out = docs
-    for part in blocks:  # of a larger test set, each block takes its spans out in a pass of its own
+    if len(blocks) == 1:
+        shared = spark.sparkContext.broadcast([tuple(r) for r in items.collect()])
+        return docs.mapInArrow(_cut(shared, window, numerator, denominator, docs.columns), docs.schema)
+    scratch = Scratch(spark)
+    rows = scratch.write(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    body = rows.select(F.col("__row").alias("row"), F.lit(None).cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
+    every = None
+    for k, part in enumerate(blocks):
         shared = spark.sparkContext.broadcast([tuple(r) for r in part.collect()])
-        out = out.mapInArrow(_cut(shared, window, numerator, denominator), docs.schema)
-    return out
-
-
-def _cut(shared, window: int, numerator: int, denominator: int):
+        found = body.mapInArrow(_found(shared, window), schema(row="long", doc_id="long", n_words="long", ids="array<string>", spans="array<struct<start:int,end:int>>"))
+        found = scratch.write(found.where("size(spans) > 0").select("row", "spans"), f"spans{k}")
+        every = found if every is None else every.unionAll(found)
+    merged = every.groupBy(F.col("row").alias("__row")).agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("__spans"))
+    return rows.join(merged, "__row", "left").mapInArrow(_cut(None, window, numerator, denominator, docs.columns), docs.schema)
+
+
+def _merged(spans: list[dict]) -> list[tuple[int, int]]:
+    """Spans in order of their start, those that touch or overlap as one."""
+    merged: list[tuple[int, int]] = []
+    for s in spans:
+        if merged and s["start"] <= merged[-1][1]:
+            merged[-1] = (merged[-1][0], max(merged[-1][1], s["end"]))
+        else:
+            merged.append((s["start"], s["end"]))
+    return merged
+
+
+def _cut(shared, window: int, numerator: int, denominator: int, names: list[str]):
+    """Rows of the columns `names`, judged and cut by the broadcast items, or by the spans that column __spans lists."""
     word = re.compile(rb"[^ ]+")
 
-    def cleaned(matcher: ItemMatcher, text: str | None) -> str | None:
+    def cleaned(text: str | None, spans: list[tuple[int, int]], words: list) -> str | None:
         """The text without its hits; a lone surrogate stands for a document to drop."""
-        words = words_of(raw := (text or "").encode())
-        spans, _ = matcher.matches(words)
         if not spans:
             return text
+        raw = text.encode()
         if denominator * sum(b - a for a, b in spans) >= numerator * len(words):
             return "\ud800"
         at = [m.span() for m in word.finditer(raw.translate(WORD_TABLE))]
@@ -303,17 +318,21 @@ def _cut(shared, window: int, numerator: int, denominator: int):
         return b"".join([*kept, raw[last:]]).decode()
 
     def run(batches):
-        matcher = ItemMatcher(shared.value, window)
+        matcher = ItemMatcher(shared.value, window) if shared else None
         for batch in batches:
-            new = [cleaned(matcher, t) for t in batch["text"].to_pylist()]
+            olds = batch["text"].to_pylist()
+            words = [words_of((t or "").encode()) for t in olds]
+            spans = [matcher.matches(w)[0] for w in words] if matcher else [_merged(x or []) for x in batch["__spans"].to_pylist()]
+            new = [cleaned(t, s, w) for t, s, w in zip(olds, spans, words, strict=True)]
             stay = [x != "\ud800" for x in new]
-            columns = []
-            for field, column in zip(batch.schema, batch.columns, strict=True):
+            columns, fields = [], [batch.schema.field(c) for c in names]
+            for field in fields:
+                column = batch[field.name]
                 if field.name == "text":
                     column = pa.array([x if k else None for x, k in zip(new, stay, strict=True)], field.type)
                 elif field.name == "n_chars":
                     column = pa.array([n if x is None else len(x) for n, x in zip(column.to_pylist(), new, strict=True)], field.type)
                 columns.append(column)
-            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(stay, pa.bool_()))
+            yield pa.RecordBatch.from_arrays(columns, schema=pa.schema(fields)).filter(pa.array(stay, pa.bool_()))
 
     return run

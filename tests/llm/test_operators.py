@@ -572,3 +572,16 @@ def test_frequent_lines_go_by_join_as_by_broadcast(spark, texts, ids):
     small, large = (lines.drop_frequent_lines(docs, 10, broadcast_keys=n).collect() for n in (1000, 0))
     order = lambda rows: sorted(rows, key=repr)
     assert order(large) == order(small) != order(docs.collect()) and len(large) == len(texts)
+
+
+def test_blocks_of_items_are_cut_as_one(spark):
+    draw = random.Random(8)
+    w = [f"w{draw.randrange(10**6)}" for _ in range(3000)]
+    j = " ".join
+    # parts of 3 % from each of several items; windows of two items that overlap; parts that are brought together by a cut
+    items = [j(w[20 * k : 20 * k + 20]) for k in range(12)] + [j(w[300:320]), j(w[310:330]), j(w[340:347] + w[367:374]), j(w[347:367])]
+    docs = [j(w[:20] + w[1000:1297] + w[20:40] + w[1297:1600]), j(w[300:330] + w[1600:2600]), j(w[340:374] + w[1600:2600]), j(w[1600:1900]), None, ""]
+    docs += [j(w[20 * a : 20 * a + 20] + w[1000:1300] + w[20 * b : 20 * b + 20] + w[1300:1650]) for a in range(12) for b in range(a)]
+    benchmark = spark.createDataFrame([(str(k), t) for k, t in enumerate(items)], "item_id string, text string")
+    once, blocks = (sorted(decontaminate.decontaminate(documents(spark, docs), benchmark, max_bytes=n).collect(), key=lambda r: r.doc_id) for n in (1 << 20, 100))
+    assert blocks == once and {1, 2, 3, 4, 5} <= {r.doc_id for r in once} and len(once) < len(docs)
