@@ -76,7 +76,7 @@ _FOUND = re.compile(
     r"|(?P<date>(?<![\d./-])(?:\d{4}[-/.]\d{1,2}[-/.]\d{1,2}|\d{1,2}[-/.]\d{1,2}[-/.]\d{4})(?![\d/-]|\.\d))"
     r"|(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"
     r"|(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?)(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<![\w(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d.-])\d{3}[ .-]\d{3}[ .-]\d{4}(?![\d-]))"
-    r"|(?P<number>(?<![\d])\d{4}(?:[ -]\d{4}){2,3}(?:[ -]\d{1,3})?(?!\d)|(?<!\d)\d{12,19}(?!\d))"
+    r"|(?P<number>(?<![\d])\d{4}(?:[ -]\d{4}){2,3}(?:[ -]\d{1,3})?(?!\d)|(?<!\d)\d{4}[ -]\d{6}[ -]\d{5}(?!\d)|(?<!\d)\d{12,19}(?!\d))"
 )
 
 
@@ -191,15 +191,33 @@ class Pseudonyms:
             return "card", self._laid(text, body + luhn_digit(body))
         return None
 
+    @staticmethod
+    def _passes(candidate: tuple, text: str, start: int, end: int, new: str) -> bool:
+        """Whether a candidate that failed would pass with `new` in its text. Such a pseudonym is passed over along the
+        cycle, as it could not be undone: it would be read as part of the longer value."""
+        a, b, take = candidate
+        return take(text[a : max(a, start)] + new[max(0, a - start) : b - start] + text[end : max(b, end)]) is not None
+
     def replace(self, text: str) -> tuple[str, list[tuple[int, int, str, str]]]:
         """(the text under pseudonyms, [(start, end in the text, kind, pseudonym)])."""
-        found, out, last = [], [], 0
-        for m in _FOUND.finditer(text):
-            if made := self.kinds[m.lastgroup](m[0]):
-                kind, new = made
-                found.append((m.start(), m.end(), kind, new))
-                out += (text[last : m.start()], new)
-                last = m.end()
+        found, out, last, at, failed = [], [], 0, 0, []
+        while m := _FOUND.search(text, at):
+            start, at, take = m.start(), m.start() + 1, self.kinds[m.lastgroup]
+            ends = [m.end()]
+            if m.lastgroup in ("number", "iban"):  # a value may be followed by what looks like another group of it
+                ends += [k for k in range(m.end() - 1, start, -1) if text[k] in " -"]
+            for end in ends:
+                if made := take(text[start:end]):
+                    kind, new = made
+                    failed = [x for x in failed if x[1] > start]
+                    while any(self._passes(x, text, start, end, new) for x in failed):
+                        kind, new = take(new)
+                    found.append((start, end, kind, new))
+                    out += (text[last:start], new)
+                    last = at = end
+                    failed = []
+                    break
+                failed.append((start, end, take))
         return ("".join([*out, text[last:]]), found) if found else (text, found)
 
 
