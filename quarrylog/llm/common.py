@@ -28,11 +28,15 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: With it, the shuffle files of a query go when it ends.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
     """Tables that one operator call writes to the shared folder, to cut lineage there.
 
-    A table survives the loss of executors, and later plans read it instead of running its plan again.
-    drop() removes tables that no returned plan reads.
+    A table survives the loss of executors, and later plans read it instead of running its plan again; the shuffle files of
+    its plan go at once. drop() removes tables that no returned plan reads.
     """
 
     def __init__(self, spark: SparkSession):
@@ -40,7 +44,12 @@ class Scratch:
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        was = self.spark.conf.get(_CLEAN, None)
+        self.spark.conf.set(_CLEAN, "true")
+        try:
+            df.write.mode("overwrite").parquet(path)
+        finally:
+            self.spark.conf.unset(_CLEAN) if was is None else self.spark.conf.set(_CLEAN, was)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:

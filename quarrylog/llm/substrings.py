@@ -1,11 +1,13 @@
 """Exact substring deduplication: every byte covered by a long string that also starts in an earlier document goes.
 
-A full suffix order is not built (see the README for why and for figures). Suffixes are sampled instead, by content: of
-every run of `length - gram + 1` neighbouring positions the one whose gram has the least hash is an anchor, so two
-copies of a string of `length` bytes hold the same anchor at the same place in it. The anchors' suffixes, as hashes of the
-gram and of all bytes that a string over it could have, are sorted externally by Spark's exchange and sort. Neighbours in this order with
-the same context settle whole neighbourhoods at once; only where contexts differ, at the ends of passages, are
-the strings over an anchor hashed one by one and sorted once more.
+A full suffix order is not built (see the README for why and for figures). Suffixes are sampled instead, by content: in
+every string of `length` bytes one position is an anchor, chosen by the string's bytes alone, so two copies of the string hold the
+same anchor at the same place. The anchors' suffixes, as hashes of the gram at the anchor and of all bytes that a string over it
+could have, are sorted externally by Spark's exchange and sort. Neighbours in this order with the same context settle
+whole neighbourhoods at once. Only where contexts of one gram differ, at the ends of passages, are the contexts themselves brought
+together by their gram, and the strings in them compared.
+
+Contexts are told apart by 128 bits: 48 of the gram, and 80 of the whole context that are independent of these; strings by 128 too.
 """
 
 from __future__ import annotations
@@ -14,17 +16,35 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, batch_of, bounded_batches, schema
-from .hashing import PART, VALUE, _Table, scrambled
+from .hashing import BASE, INVERSE, PART, VALUE, _powers, scrambled
 
-ROWS = schema(g="long", doc="long", pc="long")
-#: (doc, a, b): b > 0: the span [a, a + b); b = -1: all strings over the anchor at a are copies; b = -2: some may be.
-MARKS = schema(doc="long", a="int", b="int")
+#: (doc, a, b, g): b > 0: the span [a, a + b); b = -1: all strings over the anchor at a are copies; b = -2: some may be.
+MARKS = schema(doc="long", a="int", b="int", g="long")
 COVERED, OPEN = -1, -2
+#: What a row of the first exchange is, by pos: an anchor's place; a sign that its gram has many contexts; a span; an open anchor.
+SIGN, SPAN, UNTOLD = -1, -2, -3
 _LOW = (1 << 32) - 1
+_LEAST = -(1 << 63)
+#: A second random value for each byte, with which sums are independent of those with the first.
+OTHER = np.random.default_rng(77).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_PLACE = np.uint64((1 << 24) - 1)
+
+
+class _Base:
+    """Powers of the base and of its inverse for a part of a text."""
+
+    up = down = None
+
+    @classmethod
+    def of(cls, n: int):
+        if cls.up is None or len(cls.up) < n:
+            size = max(1 << 12, 1 << (n - 1).bit_length())
+            cls.up, cls.down = _powers(BASE, size), _powers(INVERSE, size)
+        return cls.up, cls.down
 
 
 def sliding(op, x: np.ndarray, width: int) -> np.ndarray:
@@ -36,33 +56,50 @@ def sliding(op, x: np.ndarray, width: int) -> np.ndarray:
     return op(y[: len(y) - (width - size)], y[width - size :]) if size < width else y
 
 
-def _prefix(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    up, down = _Table.of(len(b) + 1)
+def _prefix(b: np.ndarray, values: np.ndarray = VALUE) -> tuple[np.ndarray, np.ndarray]:
+    up, down = _Base.of(len(b) + 1)
     total = np.zeros(len(b) + 1, np.uint64)
-    np.cumsum(VALUE[b] * up[: len(b)], out=total[1:])
+    np.cumsum(values[b] * up[: len(b)], out=total[1:])
     return total, down
 
 
-def anchors(b: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(positions, gram hashes, context hashes) of a document's anchors. The context of an anchor is every byte of the
-    strings over its gram, cut at the document's ends; how it is cut is part of the hash."""
+def _places(total: np.ndarray, down: np.ndarray, n: int, length: int, gram: int) -> np.ndarray:
+    """The anchors of a text of n bytes, which has the prefix sums `total`.
+
+    In a string, the leftmost of the small grams with the least hash is at x; the anchor is at x modulo the number of places
+    for a gram. With the right size of small grams this picks fewer places than the least gram itself.
+    """
     width = length - gram + 1
-    found = []
-    for core in range(0, len(b), PART):
-        lo, hi = max(0, core - width + 1), min(len(b), core + PART + length)
+    small = min(4, gram) + (gram - min(4, gram)) % width
+    m = n - small + 1
+    h = (((total[small:] - total[:m]) * down[:m]) & ~_PLACE) | np.arange(m, dtype=np.uint64)
+    start = np.arange(n - length + 1)
+    x = (sliding(np.minimum, h, length - small + 1) & _PLACE).astype(np.int64)
+    here = np.zeros(n, bool)
+    here[start + (x - start) % width] = True
+    return np.nonzero(here)[0]
+
+
+def anchors(b: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(positions, gram hashes of 48 bits with 16 bits of the context behind them, context hashes) of a document's anchors.
+
+    The context of an anchor is every byte of the strings over its gram, cut at the document's ends; how it is cut is
+    part of its hash."""
+    side, found = length - gram, []
+    for core in range(0, len(b), PART):  # an anchor depends on the strings over it only, so parts overlap by these
+        lo, hi = max(0, core - length), min(len(b), core + PART + 2 * length)
         part = b[lo:hi]
         if len(part) < length:
             continue
         total, down = _prefix(part)
-        n = len(part) - gram + 1
-        h = scrambled((total[gram:] - total[:n]) * down[:n])
-        least = sliding(np.minimum, h, width)
-        edge = np.zeros(width - 1, np.uint64)
-        p = np.nonzero(sliding(np.maximum, np.concatenate([edge, least, edge]), width) == h)[0]
+        p = _places(total, down, len(part), length, gram)
         p = p[(p + lo >= core) & (p + lo < core + PART)]
-        s, e = np.maximum(p - width + 1, 0), np.minimum(p + length, len(part))
+        s, e = np.maximum(p - side, 0), np.minimum(p + length, len(part))
+        other, _ = _prefix(part, OTHER)
         cut = ((p - s) * (length + 1) + (e - p)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        found.append((p + lo, h[p], scrambled((total[e] - total[s]) * down[s] + cut)))
+        g = scrambled((total[p + gram] - total[p]) * down[p])
+        more = scrambled((total[e] - total[s]) * down[s] + cut) >> np.uint64(48)
+        found.append((p + lo, (g & ~np.uint64(0xFFFF)) | more, scrambled((other[e] - other[s]) * down[s] + cut)))
     if not found:
         return np.array([], np.int64), np.array([], np.uint64), np.array([], np.uint64)
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
@@ -92,154 +129,256 @@ def _merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nda
 
 
 class _Combined:
-    """Rows (g, c, doc, pos) of one task, brought down to those of the first document for each (g, c) before they leave it;
-    what the others cover leaves as merged spans. `reach`: what a row covers, relative to pos."""
+    """Rows (g, c, document, pos) of one task, brought down to those of the first document for each (g, c) before they leave it; what
+    the others cover leaves as merged spans. `reach`: what a row covers, relative to pos.
+
+    Where a gram has `hot` contexts or more in here, its anchors leave as open ones, dealt by their document, and only a sign that
+    they exist goes to the gram's task; so no task gets them all."""
 
-    def __init__(self, shift: int, reach: tuple[int, int], held: int = 400_000):
-        self.shift, self.reach, self.held = shift, reach, held
+    def __init__(self, own: bool, reach: tuple[int, int], held: int, hot: int | None):
+        self.own, self.reach, self.held, self.hot = own, reach, held, hot
         self.parts, self.size = [], 0
 
-    def add(self, g, c, doc: int, pos, n: int):
-        self.parts.append((g, c, np.full(len(g), doc, np.int64), pos, np.full(len(g), n, np.int64)))
+    def add(self, g, c, doc: int, own: int, pos, n: int):
+        self.parts.append((g, c, np.full(len(g), doc, np.int64), np.full(len(g), own, np.int64), pos, np.full(len(g), n, np.int64)))
         self.size += len(g)
         if self.size >= self.held:
             yield self.flush()
 
     def flush(self):
-        g, c, doc, pos, n = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        g, c, doc, own, pos, n = (np.concatenate(x) for x in zip(*self.parts, strict=True))
         self.parts, self.size = [], 0
-        c = c & np.uint64(_LOW)
-        order = np.lexsort((doc, c, g))
-        g, c, doc, pos, n = (x[order] for x in (g, c, doc, pos, n))
+        order = np.lexsort((own, c, g))
+        g, c, doc, own, pos, n = (x[order] for x in (g, c, doc, own, pos, n))
         new = _runs(g, c)
-        first = doc[np.maximum.accumulate(np.where(new, np.arange(len(g)), 0))] >> self.shift
-        later = (doc >> self.shift) > first
-        d, s, e = _merged(doc[later], np.maximum(pos[later] + self.reach[0], 0), np.minimum(pos[later] + self.reach[1], n[later]))
-        stay = ~later
-        pc = np.r_[(pos[stay].astype(np.int64) << 32) | c[stay].astype(np.int64), -((s << 32) | (e - s)) - 1]
-        spread = scrambled(d.astype(np.uint64) * np.uint64(31) + s.astype(np.uint64))
-        return batch_of({"g": (np.r_[g[stay], spread].view(np.int64), pa.int64()), "doc": (np.r_[doc[stay], d], pa.int64()), "pc": (pc, pa.int64())})
-
-
-def _anchor_rows(length: int, gram: int, shift: int):
+        first = own[np.maximum.accumulate(np.where(new, np.arange(len(g)), 0))]
+        later, kind = own > first, pos.astype(np.int64)
+        rows = [(g.view(np.int64)[~later], c.view(np.int64)[~later], doc[~later], own[~later], kind[~later])]
+        if self.hot is not None:
+            gram = g >> np.uint64(16)
+            run = np.cumsum(_runs(gram)) - 1
+            many = (np.bincount(run, weights=new) >= self.hot)[run]
+            if many.any():
+                untold, gone = many & ~later, np.unique(gram[many]) << np.uint64(16)
+                none = np.full(len(gone), _LEAST)
+                told = ~many & ~later
+                rows = [
+                    (g.view(np.int64)[told], c.view(np.int64)[told], doc[told], own[told], kind[told]),
+                    (g.view(np.int64)[untold], kind[untold], doc[untold], own[untold], np.full(int(untold.sum()), UNTOLD)),
+                    (gone.view(np.int64), none, none, none, np.full(len(gone), SIGN)),
+                ]
+        if later.any():
+            d, s, e = _merged(doc[later], np.maximum(pos[later] + self.reach[0], 0), np.minimum(pos[later] + self.reach[1], n[later]))
+            rows.append((np.zeros(len(d), np.int64), (s << 32) | (e - s), d, np.full(len(d), _LEAST), np.full(len(d), SPAN)))
+        cols = [np.concatenate(x) for x in zip(*rows, strict=True)]
+        names = ("g", "c", "doc", "own", "pos")
+        return batch_of({k: (v, pa.int64()) for k, v in zip(names, cols, strict=True) if k != "own" or self.own})
+
+
+def _columns(own: bool) -> dict[str, str]:
+    return {"g": "long", "c": "long", "doc": "long"} | ({"own": "long"} if own else {}) | {"pos": "long"}
+
+
+def _bodies(batch, *more: str):
+    """The rows (document's key, its place among documents, text, more) of a batch."""
+    own = "own" if "own" in batch.schema.names else "doc"
+    return zip(*(batch[x].to_pylist() for x in ("doc", own, "text", *more)), strict=True)
+
+
+def _anchor_rows(length: int, gram: int, own: bool, held: int, hot: int):
     def run(batches):
-        held = _Combined(shift, (gram - length, length))
+        rows = _Combined(own, (gram - length, length), held, hot)
         for batch in batches:
-            for doc, text in zip(batch["doc"].to_pylist(), batch["text"].to_pylist(), strict=True):
+            for doc, place, text in _bodies(batch):
                 if text and len(text) >= length:
                     pos, g, c = anchors(np.frombuffer(text, np.uint8), length, gram)
-                    yield from held.add(g, c, doc, pos, len(text))
-        if held.parts:
-            yield held.flush()
+                    yield from rows.add(g, c, doc, place, pos, len(text))
+        if rows.parts:
+            yield rows.flush()
 
     return run
 
 
-def _marks(doc, a, b) -> pa.RecordBatch:
-    return batch_of({"doc": (doc, pa.int64()), "a": (a.astype(np.int32), pa.int32()), "b": (b.astype(np.int32), pa.int32())})
+def _marks(doc, a, b, g=None) -> pa.RecordBatch:
+    g = pa.nulls(len(doc), pa.int64()) if g is None else g
+    return batch_of({"doc": (doc, pa.int64()), "a": (a.astype(np.int32), pa.int32()), "b": (b.astype(np.int32), pa.int32()), "g": (g, pa.int64())})
 
 
-def _resolved(shift: int, whole: int, some: int | None):
+def _resolved(whole: int, some: int | None):
     """Of rows sorted by g, c and document: a mark `whole` for those with the same g and c in an earlier document; and
-    `some` for the first document's rows of each c, if their g has several. Rows stream by: of a run of equal g that
+    `some` for the first document's rows of each c, if their gram has several. Rows stream by: of a run of one gram that
     goes on in the next batch, only the first document's rows are held back until a second c comes."""
 
     def run(batches):
-        last_g = last_c = first_doc = None
+        last_g = last_c = last_gram = first_own = None
         several, waiting = False, []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            g, doc, pc = (batch[x].to_numpy() for x in ("g", "doc", "pc"))
-            span = pc < 0
-            if span.any():
-                x = -(pc[span] + 1)
-                yield _marks(doc[span], x >> 32, x & _LOW)
-                g, doc, pc = g[~span], doc[~span], pc[~span]
+            g, c, doc, pos = (batch[x].to_numpy() for x in ("g", "c", "doc", "pos"))
+            own = batch["own"].to_numpy() if "own" in batch.schema.names else doc
+            if (known := pos <= SPAN).any():
+                span, untold = pos == SPAN, pos == UNTOLD
+                yield _marks(doc[span], c[span] >> 32, c[span] & _LOW)
+                yield _marks(doc[untold], c[untold], np.full(int(untold.sum()), OPEN), g[untold] >> 16)
+                g, c, doc, own, pos = (x[~known] for x in (g, c, doc, own, pos))
                 if not len(g):
                     continue
-            pos, c, own = pc >> 32, pc & _LOW, doc >> shift
-            new_g, new = _runs(g), _runs(g, c)
-            goes_on = last_g is not None and g[0] == last_g
+            gram = g >> 16
+            new_gram, new = _runs(gram), _runs(g, c)
+            goes_on = last_gram is not None and gram[0] == last_gram
             if goes_on:
-                new_g[0], new[0] = False, c[0] != last_c
+                new_gram[0], new[0] = False, (g[0], c[0]) != (last_g, last_c)
             at = np.maximum.accumulate(np.where(new, np.arange(len(g)), -1))
-            first = np.where(at >= 0, own[np.maximum(at, 0)], first_doc if first_doc is not None else 0)
+            first = np.where(at >= 0, own[np.maximum(at, 0)], first_own if first_own is not None else 0)
             later = own > first
             if later.any():
                 yield _marks(doc[later], pos[later], np.full(int(later.sum()), whole))
             if some is not None:
-                run_of = np.cumsum(new_g)
+                run_of = np.cumsum(new_gram)
                 run_of -= run_of[0]
-                kinds = np.bincount(run_of, weights=new & ~new_g).astype(int)  # changes of c inside each run
-                many = kinds > 0
+                many = np.bincount(run_of, weights=new & ~new_gram) > 0  # changes of c inside each run
                 if goes_on:
                     many[0] |= several
                 if goes_on and many[0]:
                     yield from waiting
                 if not goes_on or many[0] or run_of[-1]:
                     waiting = []
-                tail = run_of == run_of[-1]
-                stay = ~later & many[run_of]
+                real = ~later & (pos >= 0)
+                stay = real & many[run_of]
                 if stay.any():
-                    yield _marks(doc[stay], pos[stay], np.full(int(stay.sum()), some))
+                    yield _marks(doc[stay], pos[stay], np.full(int(stay.sum()), some), gram[stay])
                 several = bool(many[-1])
                 if not several:
-                    keep = ~later & tail
-                    waiting.append(_marks(doc[keep], pos[keep], np.full(int(keep.sum()), some)))
-            last_g, last_c, first_doc = g[-1], c[-1], first[-1]
+                    keep = real & (run_of == run_of[-1])
+                    waiting.append(_marks(doc[keep], pos[keep], np.full(int(keep.sum()), some), gram[keep]))
+            last_g, last_c, last_gram, first_own = g[-1], c[-1], gram[-1], first[-1]
+
+    return run
+
+
+def _context_rows(length: int, gram: int, own: bool):
+    """The contexts of the open anchors of each document: rows (g, doc, pos and bytes behind it, the bytes, padded)."""
+    side = length - gram
+
+    def run(batches):
+        for batch in batches:
+            parts, contexts = [], []
+            for doc, place, text, at, g in _bodies(batch, "at", "g"):
+                pos = np.frombuffer(at, np.int32).astype(np.int64)
+                pos, chosen = np.unique(pos, return_index=True)
+                for k in range(0, len(pos), 1 << 14):
+                    p = pos[k : k + (1 << 14)]
+                    lo, hi = max(0, int(p[0]) - side), int(p[-1]) + length
+                    left, piece = int(p[0]) - side - lo, text[lo:hi]
+                    padded = np.frombuffer(bytes(-left) + piece + bytes(hi - lo - len(piece)), np.uint8)
+                    contexts += np.ascontiguousarray(padded[(p - p[0])[:, None] + np.arange(side + length)]).view(f"S{side + length}").ravel().tolist()
+                    parts.append((np.frombuffer(g, np.int64)[chosen][k : k + (1 << 14)], np.full(len(p), doc, np.int64), np.full(len(p), place, np.int64), p << 32 | np.minimum(length, len(text) - p)))
+            if parts:
+                g, doc, place, pos = (np.concatenate(x) for x in zip(*parts, strict=True))
+                yield batch_of({"g": (g, pa.int64()), "doc": (doc, pa.int64())} | ({"own": (place, pa.int64())} if own else {}) | {"pos": (pos, pa.int64()), "context": (contexts, pa.binary())})
+
+    return run
+
+
+def _compared(length: int, gram: int, rows: int = 8192):
+    """Of contexts sorted by gram and document: a span for each string in them that an earlier document's context of the gram has too."""
+    side = length - gram
+    wide = side + length
+
+    def told(g, doc, own, pos, contexts):
+        b = np.frombuffer(b"".join(x.ljust(wide, b"\0") for x in contexts), np.uint8).reshape(-1, wide)
+        behind, p = pos & _LOW, pos >> 32
+        up, down = _Base.of(wide + 1)
+        hashes = []
+        for values in (VALUE, OTHER):
+            total = np.zeros((len(b), wide + 1), np.uint64)
+            np.cumsum(values[b] * up[:wide], axis=1, out=total[:, 1:])
+            hashes.append(scrambled((total[:, length:] - total[:, : side + 1]) * down[: side + 1]))
+        start = p[:, None] - side + np.arange(side + 1)
+        valid = (start >= 0) & (start + length <= (p + behind)[:, None])
+        h, k, start = hashes[0][valid], hashes[1][valid], start[valid]
+        row = np.repeat(np.arange(len(b)), side + 1).reshape(valid.shape)[valid]
+        place = own[row]
+        order = np.lexsort((place, k, h))
+        new = _runs(h[order], k[order])
+        first = place[order][np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+        later = order[place[order] > first]
+        d, s, e = _merged(doc[row[later]], start[later], start[later] + length)
+        return _marks(d, s, e - s)
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own = "own" if "own" in batch.schema.names else "doc"
+            part = [batch[x].to_numpy() for x in ("g", "doc", own, "pos")] + [batch["context"].to_numpy(zero_copy_only=False)]
+            held.append(part)
+            size += batch.num_rows
+            if size >= rows:  # whole grams only; the last one may go on
+                cols = [np.concatenate(x) for x in zip(*held, strict=True)]
+                cut = int(np.searchsorted(cols[0], cols[0][-1], side="left"))
+                if cut:
+                    yield told(*(x[:cut] for x in cols))
+                held, size = [[x[cut:] for x in cols]], len(cols[0]) - cut
+        if size:
+            yield told(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
     return run
 
 
-def _string_rows(length: int, gram: int, shift: int):
+def _string_rows(length: int, gram: int, own: bool, held: int):
     """The hashes of all strings over the open anchors of each document: rows (g, c, doc, start of the string)."""
 
     def run(batches):
-        held = _Combined(shift, (0, length), 200_000)
+        rows = _Combined(own, (0, length), held, None)
         for batch in batches:
-            for doc, text, at in zip(batch["doc"].to_pylist(), batch["text"].to_pylist(), batch["at"].to_pylist(), strict=True):
+            for doc, place, text, at in _bodies(batch, "at"):
                 b = np.frombuffer(text, np.uint8)
                 starts = np.unique((np.frombuffer(at, np.int32)[:, None] - np.arange(length - gram + 1)[None, :]).ravel())
                 starts = starts[(starts >= 0) & (starts + length <= len(b))].astype(np.int64)
                 for core in range(0, len(b), PART):
                     mine = starts[(starts >= core) & (starts < core + PART)] - core
                     if len(mine):
-                        total, down = _prefix(b[core : core + PART + length])
-                        raw = (total[mine + length] - total[mine]) * down[mine]
-                        yield from held.add(scrambled(raw), scrambled(raw * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(1)), doc, mine + core, len(b))
-        if held.parts:
-            yield held.flush()
+                        part, hashes = b[core : core + PART + length], []
+                        for values in (VALUE, OTHER):
+                            total, down = _prefix(part, values)
+                            hashes.append(scrambled((total[mine + length] - total[mine]) * down[mine]))
+                        yield from rows.add(*hashes, doc, place, mine + core, len(b))
+        if rows.parts:
+            yield rows.flush()
 
     return run
 
 
-def _packed(kind: str):
-    """Sorted marks of a partition as one row a document: (doc, at): positions of open anchors, or merged spans."""
+def _packed(*kinds: str):
+    """Sorted marks of a partition as one row a document: its key, and each column's values in order, as bytes."""
 
     def run(batches):
         doc, parts = None, []
 
-        def out():
-            return batch_of({"doc": ([doc], pa.int64()), kind: ([np.concatenate(parts).tobytes()], pa.binary())})
+        def row():
+            return doc, *(b"".join(x) for x in zip(*parts, strict=True))
+
+        def out(rows):
+            return batch_of({k: (v, pa.binary() if k != "doc" else pa.int64()) for k, v in zip(("doc", *kinds), zip(*rows, strict=True), strict=True)})
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            docs, rows = batch["doc"].to_numpy(), np.stack([batch[x].to_numpy() for x in (["a"] if kind == "at" else ["a", "b"])], axis=1)
-            edges = np.nonzero(_runs(docs))[0].tolist() + [len(docs)]
-            ready_docs, ready = [], []
+            docs, values = batch["doc"].to_numpy(), [batch[k].to_numpy() for k in kinds]
+            edges, ready = np.nonzero(_runs(docs))[0].tolist() + [len(docs)], []
             for s, e in zip(edges, edges[1:], strict=False):
                 if docs[s] != doc and parts:
-                    ready_docs.append(doc)
-                    ready.append(np.concatenate(parts).tobytes())
+                    ready.append(row())
                     parts = []
                 doc = int(docs[s])
-                parts.append(np.ascontiguousarray(rows[s:e], np.int32))
+                parts.append([x[s:e].tobytes() for x in values])
             if ready:
-                yield batch_of({"doc": (ready_docs, pa.int64()), kind: (ready, pa.binary())})
+                yield out(ready)
         if parts:
-            yield out()
+            yield out([row()])
 
     return run
 
@@ -248,64 +387,72 @@ def _finish(length: int, gram: int):
     def run(batches):
         for batch in batches:
             out = []
-            for doc, text, marks in zip(batch["doc"].to_pylist(), batch["text"].to_pylist(), batch["marks"].to_pylist(), strict=True):
+            for doc, text, a, b in zip(*(batch[x].to_pylist() for x in ("doc_id", "text", "a", "b")), strict=True):
                 raw = text or b""
-                if not marks:
+                if not a:
                     out.append((doc, len(raw), 0, 0, raw))
                     continue
-                a, b = np.frombuffer(marks, np.int32).reshape(-1, 2).astype(np.int64).T
+                a, b = (np.frombuffer(x, np.int32).astype(np.int64) for x in (a, b))
                 start = np.where(b == COVERED, np.maximum(a - (length - gram), 0), a)
                 end = np.where(b == COVERED, np.minimum(a + length, len(raw)), a + b)
                 _, s, e = _merged(np.zeros(len(start), np.int64), start, end)
                 edges = [0, *np.stack([s, e], axis=1).ravel().tolist(), len(raw)]
                 out.append((doc, len(raw), int((e - s).sum()), len(s), b"".join(raw[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True))))
             cols = list(zip(*out, strict=True)) or [()] * 5
-            yield batch_of({"doc": (cols[0], pa.int64()), "n_bytes": (cols[1], pa.int64()), "n_removed": (cols[2], pa.int64()), "n_spans": (cols[3], pa.int64()), "kept_sha256": ([hashlib.sha256(k).hexdigest() for k in cols[4]], pa.string()), "kept": (cols[4], pa.binary())})
+            yield batch_of({"doc_id": (cols[0], pa.int64()), "n_bytes": (cols[1], pa.int64()), "n_removed": (cols[2], pa.int64()), "n_spans": (cols[3], pa.int64()), "kept_sha256": ([hashlib.sha256(k).hexdigest() for k in cols[4]], pa.string()), "kept": (cols[4], pa.binary())})
 
     return run
 
 
-def _keyed(docs: DataFrame, doc_id: str, text: str, scratch: Scratch) -> tuple[DataFrame, int]:
-    """(doc, text) with keys that differ for every row, and by how many bits to shift a key for the order of documents.
+def _keyed(docs: DataFrame, doc_id: str, text: str, scratch: Scratch) -> DataFrame:
+    """(doc_id, doc, text), and own, if needed: doc is a key that differs for every row, own the document's place among documents.
 
-    The key is doc_id itself, unless some are null or repeated: then it is doc_id, with null before all others, times
-    2^16 and the row's number among those of its doc_id. These rows are neither earlier nor later than each other.
+    The key is doc_id itself and its own place, unless some are null or repeated. Then rows are numbered and written, so that numbers
+    hold, and the place is doc_id, with null as the least number.
     """
-    body = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).cast("string").cast("binary").alias("text"))
+    own = F.col(doc_id).cast("long")
+    body = docs.select(own.alias("doc_id"), own.alias("doc"), F.col(text).cast("string").cast("binary").alias("text"))
     if body.groupBy("doc").count().where("doc is null or count > 1").isEmpty():
-        return body, 0
-    low = -(1 << 46)
-    numbered = body.withColumn("doc", F.coalesce("doc", F.lit(low))).withColumn("k", F.row_number().over(Window.partitionBy("doc").orderBy(F.xxhash64("text"), "text")))
-    return scratch.write(numbered.select((F.col("doc") * (1 << 16) + F.col("k")).alias("doc"), "text"), "keyed"), 16
+        return body
+    numbered = body.withColumns({"doc": F.monotonically_increasing_id(), "own": F.coalesce("doc_id", F.lit(_LEAST))})
+    return scratch.write(numbered, "keyed")
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, gram: int = 28, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 50, gram: int = 28, doc_id: str = "doc_id", text: str = "text", held: int = 400_000, hot: int = 64, group: int = 4096) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept): the documents without repeated bytes.
 
     A byte of the UTF-8 text goes if a string of `length` bytes over it also starts in a document with a smaller doc_id.
-    Null and empty texts have no bytes; null doc_ids come before all others; documents of one doc_id, which may be
-    repeated up to 65535 times, do not count as earlier than each other. Other columns are ignored. kept holds the remaining bytes, which
-    need not be valid UTF-8.
+    Null and empty texts have no bytes; null doc_ids come first, as the least long; documents of one doc_id, which may be
+    repeated, do not count as earlier than each other. Other columns are ignored. An empty table gives no rows. kept holds the
+    remaining bytes, which need not be valid UTF-8.
+
+    held: rows that a task gathers before it combines them. hot: from so many contexts of a gram in these on, they are not dealt by
+    gram. group: grams with more open contexts are compared string by string, dealt by the string, not by gram. None changes the result.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     scratch = Scratch(spark)
-    body, shift = _keyed(docs, doc_id, text, scratch)
-    by_context = ("g", F.col("pc").bitwiseAND(F.lit(_LOW)), "doc")
-
-    def sorted_rows(rows: DataFrame) -> DataFrame:
-        return rows.repartition("g").sortWithinPartitions(*by_context)
-
-    rows = body.mapInArrow(_anchor_rows(length, gram, shift), ROWS)
-    marks = scratch.write(sorted_rows(rows).mapInArrow(_resolved(shift, COVERED, OPEN), MARKS), "marks")
-    pending = marks.where(F.col("b") == OPEN).repartition("doc").sortWithinPartitions("doc", "a").mapInArrow(_packed("at"), schema(doc="long", at="binary"))
-    strings = body.join(pending.hint("shuffle_hash"), "doc").mapInArrow(_string_rows(length, gram, shift), ROWS)
-    more = scratch.write(sorted_rows(strings).mapInArrow(_resolved(shift, length, None), MARKS), "more")
-    every = marks.where(F.col("b") != OPEN).unionByName(more)
-    spans = every.repartition("doc").sortWithinPartitions("doc", "a").mapInArrow(_packed("marks"), schema(doc="long", marks="binary"))
-    found = body.join(spans.hint("shuffle_hash"), "doc", "left").mapInArrow(_finish(length, gram), schema(doc="long", n_bytes="long", n_removed="long", n_spans="long", kept_sha256="string", kept="binary"))
-    own = F.col("doc")
-    if shift:
-        own = F.shiftright("doc", 16)
-        own = F.when(own != -(1 << 46), own)
-    return found.select(own.alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
+    body = _keyed(docs, doc_id, text, scratch)
+    own = "own" in body.columns
+    place = "own" if own else "doc"
+    gram_of = F.when(F.col("pos") >= SIGN, F.shiftright("g", 16)).otherwise(F.xxhash64("doc", "c"))
+
+    rows = body.drop("doc_id").mapInArrow(_anchor_rows(length, gram, own, held, hot), schema(**_columns(own)))
+    marks = scratch.write(rows.repartition(gram_of).sortWithinPartitions("g", "c", place).mapInArrow(_resolved(COVERED, OPEN), MARKS), "marks")
+    pending = marks.where(F.col("b") == OPEN).select("doc", F.col("a").alias("at"), "g")
+    crowded = scratch.write(pending.groupBy("g").count().where(F.col("count") > group).select("g"), "crowded")
+    many = not crowded.isEmpty()
+
+    def opened(marked: DataFrame) -> DataFrame:
+        per_doc = marked.repartition("doc").sortWithinPartitions("doc", "at").mapInArrow(_packed("at", "g"), schema(doc="long", at="binary", g="binary"))
+        return body.drop("doc_id").join(per_doc.hint("shuffle_hash"), "doc")
+
+    contexts = opened(pending.join(crowded, "g", "left_anti") if many else pending).mapInArrow(_context_rows(length, gram, own), schema(g="long", doc="long", **({"own": "long"} if own else {}), pos="long", context="binary"))
+    found = scratch.write(contexts.repartition("g").sortWithinPartitions("g", place).mapInArrow(_compared(length, gram), MARKS), "compared")
+    every = marks.where(F.col("b") != OPEN).unionByName(found)
+    if many:
+        strings = opened(pending.join(crowded, "g", "left_semi")).mapInArrow(_string_rows(length, gram, own, held // 2), schema(**_columns(own)))
+        dealt = F.when(F.col("pos") >= 0, F.col("g")).otherwise(F.xxhash64("doc", "c"))
+        every = every.unionByName(scratch.write(strings.repartition(dealt).sortWithinPartitions("g", "c", place).mapInArrow(_resolved(length, None), MARKS), "strings"))
+    spans = every.repartition("doc").sortWithinPartitions("doc", "a").mapInArrow(_packed("a", "b"), schema(doc="long", a="binary", b="binary"))
+    return body.join(spans.hint("shuffle_hash"), "doc", "left").mapInArrow(_finish(length, gram), schema(doc_id="long", n_bytes="long", n_removed="long", n_spans="long", kept_sha256="string", kept="binary"))

@@ -411,20 +411,55 @@ def plain_repeats(rows, length):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize(("length", "gram"), [(50, 24), (20, 8), (12, 12)])
-def test_repeats(spark, texts, length, gram):
+@pytest.mark.parametrize(("length", "gram", "more"), [(50, 28, {}), (50, 24, {"held": 50, "hot": 2, "group": 1}), (20, 8, {"hot": 3, "group": 4}), (20, 8, {"held": 300, "hot": 2, "group": 10**6}), (12, 12, {})])
+def test_repeats(spark, texts, length, gram, more):
     draw = random.Random(length)
     rows = list(enumerate(texts)) + [(1000 + k, "".join(draw.choices("ab", k=draw.randint(0, 400)))) for k in range(15)]
+    passage = "".join(draw.choices("abcdefgh", k=length - 5))
+    rows += [(2000 + k, "".join(draw.choices("xyz", k=6)) + passage + "".join(draw.choices("xyz", k=draw.randint(0, 6)))) for k in range(40)]
     draw.shuffle(rows)
     df = documents(spark, [t for _, t in rows], [d for d, _ in rows])
-    got = substrings.remove_repeats(df, length, gram).drop("kept").collect()
+    got = substrings.remove_repeats(df, length, gram, **more).drop("kept").collect()
     assert sorted(map(tuple, got), key=str) == plain_repeats(rows, length)
 
 
+def test_repeats_in_long_texts(spark):
+    """Passages over the seams between the parts in which a text is hashed, and texts that repeat themselves."""
+    draw = random.Random(8)
+    seam = hashing.PART
+    base = bytes(draw.choices(b"abcdefghijklmnop ", k=2 * seam + 500)).decode()
+    passages = [base[k : k + n] for k, n in ((seam - 30, 60), (seam - 49, 50), (seam, 50), (2 * seam - 70, 140), (seam + 1000, 49))]
+    rows = [(1, base), (2, "-".join(passages)), (3, "ab" * 700_000), (4, "x" + "ab" * 30)]
+    got = {r.doc_id: r for r in substrings.remove_repeats(documents(spark, [t for _, t in rows], [d for d, _ in rows])).collect()}
+    assert got[1].n_removed == got[3].n_removed == 0
+    assert bytes(got[2].kept).decode() == "----" + passages[-1]
+    assert bytes(got[4].kept) == b"x"
+
+
+def test_texts_whose_contexts_had_equal_short_hashes(spark):
+    """Two texts that share 28 bytes and no string of 50."""
+    rows = [(1, "hgssndxdlavaau igoiglyiieecddsycymmcyzwemmzhiopkzslniee qxgppcmmzygmdtrg"), (2, "eqibmxclwczhwgzaoptinciieecddsycymmcyzwemmzhiopkzssddueswlctlcjlyyydnrgq")]
+    assert all(r.n_removed == 0 for r in substrings.remove_repeats(documents(spark, [t for _, t in rows], [1, 2])).collect())
+
+
+def test_every_string_has_its_anchor_wherever_it_stands():
+    draw = random.Random(2)
+    for length, gram in ((50, 28), (20, 8), (12, 12), (9, 3)):
+        string = bytes(draw.choices(b"abc", k=length))
+        seen = set()
+        for _ in range(20):
+            before = bytes(draw.choices(b"abc", k=draw.randint(0, 90)))
+            text = before + string + bytes(draw.choices(b"abc", k=draw.randint(0, 90)))
+            places = {int(p) - len(before) for p in substrings.anchors(np.frombuffer(text, np.uint8), length, gram)[0]}
+            seen = seen & places if seen else places
+        assert any(0 <= p <= length - gram for p in seen)
+
+
 def test_repeats_with_repeated_and_null_ids(spark, texts):
-    rows = [(None, texts[20]), (3, texts[20]), (3, texts[20] + "x"), (3, texts[20]), (4, texts[20]), (None, "a" * 80), (5, "a" * 200), (-7, None)]
+    rows = [(None, texts[20]), (3, texts[20]), (3, texts[20] + "x"), (3, texts[20]), (4, texts[20]), (None, "a" * 80), (5, "a" * 200), (-7, None), (2**62, texts[20]), (-(2**46), "b" * 60), (-(2**50), "b" * 70)]
     df = documents(spark, [t for _, t in rows], [d for d, _ in rows])
     assert sorted(map(tuple, substrings.remove_repeats(df).drop("kept").collect()), key=str) == plain_repeats(rows, 50)
+    assert sorted(map(tuple, substrings.remove_repeats(df, held=3, hot=1, group=0).drop("kept").collect()), key=str) == plain_repeats(rows, 50)
     assert substrings.remove_repeats(documents(spark, [])).count() == 0
 
 
@@ -433,21 +468,24 @@ def test_runs_that_go_on_over_batches():
     import pyarrow as pa
 
     draw = random.Random(3)
-    rows = sorted((draw.randrange(6), draw.randrange(3), draw.randrange(8), draw.randrange(50)) for _ in range(80))
+    least = -(1 << 63)
+    rows = sorted([(draw.randrange(6) << 16, draw.randrange(3), draw.randrange(8), draw.randrange(50)) for _ in range(80)] + [(7 << 16, least, least, -1), (7 << 16, 5, 3, 9), (8 << 16, 5, 3, 9)])
 
     def marks(size):
-        batches = [pa.RecordBatch.from_pydict({"g": [r[0] for r in part], "doc": [r[2] for r in part], "pc": [(r[3] << 32) | r[1] for r in part]}) for part in (rows[i : i + size] for i in range(0, len(rows), size))]
-        return sorted(tuple(r.values()) for b in substrings._resolved(0, substrings.COVERED, substrings.OPEN)(batches) for r in b.to_pylist())
+        batches = [pa.RecordBatch.from_pydict({"g": [r[0] for r in part], "c": [r[1] for r in part], "doc": [r[2] for r in part], "pos": [r[3] for r in part]}) for part in (rows[i : i + size] for i in range(0, len(rows), size))]
+        return sorted((r["doc"], r["a"], r["b"]) for b in substrings._resolved(substrings.COVERED, substrings.OPEN)(batches) for r in b.to_pylist())
 
     expected = []
     for g, c, d, p in rows:
         group = [r for r in rows if r[0] == g]
         first = min(r[2] for r in group if r[1] == c)
+        if p < 0:
+            continue
         if d > first:
             expected.append((d, p, substrings.COVERED))
         elif len({r[1] for r in group}) > 1:
             expected.append((d, p, substrings.OPEN))
-    for size in (1, 2, 3, 7, 80):
+    for size in (1, 2, 3, 7, 83):
         assert marks(size) == sorted(expected)
 
 
