@@ -1,9 +1,12 @@
 """Main text of web pages by a tree-structured graphical model of the DOM.
 
 Every block element is a variable, content or not. Its own evidence is a log-linear function of its tag, the words of its class, id and
-role, its text and its links; each edge couples parent and child by a table that depends on the child's tag. Sum-product messages go
-from the leaves up and from the root down, so each element's exact marginal follows. Both kinds of weights are trained
+role, its text and its links; each edge gives the chances of a child's state for each state of its parent, by the child's tag. Sum-product
+messages go from the leaves up and from the root down, so each element's exact marginal follows. Both kinds of weights are trained
 on labelled pages by the gradient of the likelihood, which the same messages give.
+
+Like children of one parent share their evidence: that of many alike weighs as much as that of a few, and as edges are chances, a child
+without evidence tells its parent nothing. So a long list of short paragraphs does not outvote the article around it.
 """
 
 from __future__ import annotations
@@ -12,6 +15,7 @@ import html as entities
 import random
 import re
 import zlib
+from collections import Counter
 from math import exp, log, log1p
 
 import pyarrow as pa
@@ -28,19 +32,22 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split())
 ENDS_SAME = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "thead": ({"tr", "td", "th"}, {"table"}), "tbody": ({"thead", "tbody", "tr", "td", "th"}, {"table"})}
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"(class|id|role|aria-label|itemprop|hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+#: A quote opens a value only behind an equals sign; one that is never closed ends with its tag.
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|=)*+)(?:>|\Z)", re.S)
+_ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|aria-label|itemprop|hidden|style)(?![\w-])(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+#: A slash that closes a tag, which counts in SVG and MathML only; one behind a bare value is part of it.
+_CLOSED = re.compile(r"(?:^|[\s\"'])/$")
 _NAME = re.compile(r"[A-Za-z][a-z]*|[A-Z]+(?![a-z])")
 
 
 class Node:
-    __slots__ = ("tag", "names", "parent", "chars", "linked", "blocks", "label", "children")
+    __slots__ = ("tag", "names", "parent", "chars", "linked", "blocks", "label", "children", "share")
 
     def __init__(self, tag: str, names: tuple[str, ...], parent: int):
         self.tag, self.names, self.parent = tag, names, parent
         self.chars = self.linked = self.children = 0
         self.blocks: list[list[str]] = []
-        self.label = 0
+        self.label, self.share = 0, 1.0
 
 
 def _names(attributes: str) -> tuple[str, ...]:
@@ -103,7 +110,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, list[str]]]]:
                     break
             continue
         if tag in OPAQUE and tag not in ("head",):
-            if not m[3].endswith("/"):
+            if tag not in ("svg", "math") or not _CLOSED.search(m[3]):
                 end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
                 at = end.end() if end else len(page) if tag in ("script", "style") else at
             continue
@@ -138,21 +145,32 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, list[str]]]]:
             open_block = None
             nodes[parent].children += 1
             nodes.append(Node(tag, _names(m[3]) if m[3] else (), parent))
-            if not m[3].endswith("/"):
-                stack.append((tag, len(nodes) - 1))
+            stack.append((tag, len(nodes) - 1))
     text(page[at:])
+    _shared(nodes)
     return nodes, blocks
 
 
+#: So many like children count in full.
+ALIKE = 4
+
+
+def _shared(nodes: list[Node]) -> None:
+    """Sets the share at which each element's evidence counts, by how many children of its parent have its tag and names."""
+    alike = Counter((x.parent, x.tag, x.names) for x in nodes)
+    for x in nodes:
+        x.share = ALIKE / max(ALIKE, alike[x.parent, x.tag, x.names])
+
+
 class TreeModel:
-    """Weights of hashed features, and for each kind of child an edge table [parent 0, child 0; 0, 1; 1, 0; 1, 1]; exact
+    """Weights of hashed features, and for each kind of child the logarithms of its chances [parent 0, child 0; 0, 1; 1, 0; 1, 1]; exact
     inference by messages."""
 
     BITS, KINDS = 12, 64
 
     def __init__(self, unary: list[float] | None = None, edge: list[list[float]] | None = None):
         self.unary = unary or [0.0] * (1 << self.BITS)
-        self.edge = edge or [[0.0] * 4 for _ in range(self.KINDS)]
+        self.edge = edge or [[-log(2)] * 4 for _ in range(self.KINDS)]
         self.places: dict[str, int] = {}
         self.kinds: dict[str, int] = {}
 
@@ -186,7 +204,7 @@ class TreeModel:
         feats = [self.features(x) for x in nodes]
         kinds = [self.kind(x) for x in nodes]
         edges = [self.edge[k] for k in kinds]
-        off, on = [0.0] * n, [sum([unary[i] for i in f]) for f in feats]
+        off, on = [0.0] * n, [x.share * sum([unary[i] for i in f]) for x, f in zip(nodes, feats, strict=True)]
         up_off, up_on = [0.0] * n, [0.0] * n
         for k in range(n - 1, 0, -1):  # an element comes after its parent, so all its children have been added
             a, b, c, d = edges[k]
@@ -213,7 +231,7 @@ class TreeModel:
             for nodes in order.sample(pages, len(pages)):
                 odds, joint, feats, kinds = self.messages(nodes)
                 for k, node in enumerate(nodes):
-                    error = r * (node.label - _sigmoid(odds[k]))
+                    error = r * node.share * (node.label - _sigmoid(odds[k]))
                     if abs(error) > 1e-4:
                         for i in feats[k]:
                             unary[i] += error
@@ -221,8 +239,12 @@ class TreeModel:
                         t = joint[k]
                         total = _log_sum(_log_sum(t[0], t[1]), _log_sum(t[2], t[3]))
                         table, told = self.edge[kinds[k]], 2 * nodes[node.parent].label + node.label
-                        for j in range(4):
-                            table[j] += 0.3 * r * ((j == told) - exp(t[j] - total))
+                        off = [(j == told) - exp(t[j] - total) for j in range(4)]
+                        for j in (0, 2):
+                            both = off[j] + off[j + 1]
+                            x, y = (table[i] + 0.3 * r * (off[i] - both * exp(table[i])) for i in (j, j + 1))
+                            norm = _log_sum(x, y)
+                            table[j], table[j + 1] = x - norm, y - norm
         return self
 
 
@@ -298,11 +320,12 @@ def labelled_pages(n: int = 400, seed: int = 3) -> list[str]:
     def article():
         nonlocal plain
         plain = draw.random() < 0.75
-        short = draw.random() < 0.15
+        short = draw.random() < 0.3
+        many = short and draw.random() < 0.2  # a long list of short paragraphs
         m = " data-main=1"
-        parts = [f"<{draw.choice(('h1', 'h1', 'h1', 'h2'))}{m}>{words(2, 9)}</h1>"]
-        for _ in range(draw.randint(1, 12)):
-            kind = draw.random()
+        parts = [f"<{draw.choice(('h1', 'h1', 'h1', 'h2'))}{m}>{words(2, 9)}</h1>"] if draw.random() < 0.8 else []
+        for _ in range(draw.randint(30, 120) if many else draw.randint(1, 12)):
+            kind = draw.random() * (0.76 if many else 1)
             if kind < 0.74:
                 parts.append(f"<p{m}>{some(0.1, lambda: '<b>')}{prose() if not short and draw.random() < 0.85 else words(1, 8).capitalize() + '.'}" + draw.choice(("</p>", "</p>", "</p>", "", "<br>")))
             elif kind < 0.80:
@@ -334,12 +357,13 @@ def labelled_pages(n: int = 400, seed: int = 3) -> list[str]:
 
     out = []
     for _ in range(n):
-        before = "".join(some(p, f) for p, f in ((0.5, head), (0.7, menu), (0.25, notice), (0.4, advert), (0.2, form)))
-        after = "".join(some(p, f) for p, f in ((0.35, side), (0.4, comments), (0.2, share), (0.2, advert), (0.2, form), (0.15, notice), (0.8, foot)))
+        bare = 0.3 if draw.random() < 0.2 else 1  # a page with little else
+        before = "".join(some(bare * p, f) for p, f in ((0.5, head), (0.7, menu), (0.25, notice), (0.4, advert), (0.2, form)))
+        after = "".join(some(bare * p, f) for p, f in ((0.35, side), (0.4, comments), (0.2, share), (0.2, advert), (0.2, form), (0.15, notice), (0.8, foot)))
         lead = some(0.25, side)
         body = article()
-        if draw.random() < 0.25:
-            body = f"<{(t := draw.choice(('main', 'div')))} class='{draw.choice(('wrap', 'container', 'page', 'row', 'layout'))}' data-main=1>{lead}{body}{some(0.3, side)}{some(0.3, comments)}</{t}>"
+        if draw.random() < 0.4:
+            body = f"<{(t := draw.choice(('main', 'div', 'div')))} class='{draw.choice(('wrap', 'container', 'page', 'row', 'layout', word(), word(), word()))}' data-main=1>{lead}{body}{some(0.3, side)}{some(0.3, comments)}</{t}>"
         else:
             body = lead + body
         out.append(f"<!DOCTYPE html><html><head><title>{words(1, 5)}</title><style>p{{}}</style></head><body>{before}{body}{after}</body></html>")
