@@ -7,6 +7,7 @@ different ones stay different, and the holder of the key can undo it. No state i
 
 from __future__ import annotations
 
+import bisect
 import datetime
 import hashlib
 import re
@@ -67,10 +68,16 @@ DATE_FORMS = {
 }
 _FIRST, _LAST = datetime.date(1900, 1, 1), datetime.date(2099, 12, 31)
 
-#: Candidates of every kind, longer ones first; validation decides. Fixed formats.
+#: What may stand before the @ of an address, as the longest run, and from it on. Each run is read once, so long ones take linear time.
+_LOCAL = re.compile(r"[A-Za-z0-9._%+-]++(?=@)|[A-Za-z0-9._%+-]++")
+_DOMAIN = re.compile(r"@[A-Za-z0-9][A-Za-z0-9-]*+(?:\.[A-Za-z0-9-]++)*")
+#: Four numbers behind such a word are a version.
+_VERSION = re.compile(r"(?:\bv|\bver|\bversion|\brelease|\bbuild)[ .:=]*\Z", re.I)
+
+#: Candidates of the other kinds, longer ones first; validation decides. Each looks at a bounded number of signs, or starts
+#: at the start of a run only, so no text takes more than linear time. Fixed formats.
 _FOUND = re.compile(
-    r"(?P<email>[A-Za-z0-9._%+-]*[A-Za-z0-9]@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})"
-    r"|(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))"
+    r"(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))"
     r"|(?P<secret>(?<![A-Za-z0-9])(?=[0-9a-fA-F]*[a-fA-F])(?=[0-9a-fA-F]*\d)[0-9a-fA-F]{32,}(?![A-Za-z0-9]))"
     r"|(?P<ip>(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\d]|\.\d))"
     r"|(?P<date>(?<![\d./-])(?:\d{4}[-/.]\d{1,2}[-/.]\d{1,2}|\d{1,2}[-/.]\d{1,2}[-/.]\d{4})(?![\d/-]|\.\d))"
@@ -80,12 +87,47 @@ _FOUND = re.compile(
 )
 
 
+def _addresses(text: str):
+    """(start, end) of what looks like an e-mail address: found from its @, from left to right."""
+    if "@" not in text:
+        return
+    for m in _LOCAL.finditer(text):
+        if m.end() < len(text) and text[m.end()] == "@" and text[m.end() - 1] not in "._%+-" and (d := _DOMAIN.match(text, m.end())):
+            labels = d[0].split(".")  # up to the last that is a top-level domain; none of those before may be empty
+            while len(labels) > 1 and not (labels[-1].isalpha() and len(labels[-1]) > 1):
+                if (top := re.match("[A-Za-z]{2,}", labels[-1])):
+                    labels[-1] = top[0]
+                    break
+                labels.pop()
+            if len(labels) > 1 and not labels[0].endswith("-"):
+                yield m.start(), m.end() + len(".".join(labels))
+
+
+class _Days:
+    """The dates that a pseudonym may be, by class: days are as long as they are, and month first or not, in every format."""
+
+    made = None
+
+    @staticmethod
+    def kind(day: datetime.date) -> tuple[bool, int]:
+        return day.month > 9, 0 if day.day < 10 else 1 if day.day < 13 else 2
+
+    @classmethod
+    def of(cls, day: datetime.date) -> list[int]:
+        if cls.made is None:
+            found: dict = {}
+            for o in range(_FIRST.toordinal(), _LAST.toordinal() + 1):
+                found.setdefault(cls.kind(datetime.date.fromordinal(o)), []).append(o)
+            cls.made = found
+        return cls.made[cls.kind(day)]
+
+
 class Pseudonyms:
     """The pseudonym of every valid value, and back."""
 
     def __init__(self, key: bytes, back: bool = False):
         self.net, self.back = Feistel(key), back
-        self.kinds: dict[str, Callable[[str], tuple[str, str] | None]] = {k: getattr(self, f"_{k}") for k in ("email", "iban", "secret", "ip", "date", "ssn", "phone", "number")}
+        self.kinds: dict[str, Callable[[str], tuple[str, str] | None]] = {k: getattr(self, f"_{k}") for k in ("iban", "secret", "ip", "date", "ssn", "phone", "number")}
 
     def _permute(self, value: int, size: int, tweak: str) -> int:
         return self.net.permute(value, size, tweak.encode(), self.back)
@@ -120,7 +162,8 @@ class Pseudonyms:
 
     def _email(self, text: str):
         local, _, domain = text.rpartition("@")
-        return "email", f"{self._letters(local, 'email')}@{domain}"
+        *names, top = domain.split(".")
+        return "email", f"{self._letters(local, 'email')}@{'.'.join([*(self._letters(x, 'domain') for x in names), top])}"
 
     def _iban(self, text: str):
         plain = text.replace(" ", "")
@@ -157,13 +200,10 @@ class Pseudonyms:
                 return None
             if not _FIRST <= day <= _LAST:
                 return None
-            padded = len(month) == 2 and len(d) == 2
-            days = (_LAST - _FIRST).days + 1
-            made = day
-            while made is day or swapped and made.day <= 12:  # along the cycle to a date that is month first as well
-                made = _FIRST + datetime.timedelta(self._permute((made - _FIRST).days, days, "date"))
-            a, b = (f"{made.month:02d}", f"{made.day:02d}") if padded else (str(made.month), str(made.day))
-            sep = m[2]
+            days = _Days.of(day)
+            place = self._permute(bisect.bisect_left(days, day.toordinal()), len(days), f"date{_Days.kind(day)}")
+            made = datetime.date.fromordinal(days[place])
+            a, b, sep = f"{made.month:0{len(month)}d}", f"{made.day:0{len(d)}d}", m[2]
             return "date", f"{made.year}{sep}{a}{sep}{b}" if form == "ymd" else f"{a}{sep}{b}{sep}{made.year}" if swapped else f"{b}{sep}{a}{sep}{made.year}"
         return None
 
@@ -201,11 +241,26 @@ class Pseudonyms:
     def replace(self, text: str) -> tuple[str, list[tuple[int, int, str, str]]]:
         """(the text under pseudonyms, [(start, end in the text, kind, pseudonym)])."""
         found, out, last, at, failed = [], [], 0, 0, []
-        while m := _FOUND.search(text, at):
-            start, at, take = m.start(), m.start() + 1, self.kinds[m.lastgroup]
-            ends = [m.end()]
-            if m.lastgroup in ("number", "iban"):  # a value may be followed by what looks like another group of it
-                ends += [k for k in range(m.end() - 1, start, -1) if text[k] in " -"]
+        addresses = _addresses(text)
+        address, other = next(addresses, None), _FOUND.search(text)
+        while True:
+            while address and (address[1] <= at or text[max(address[0], at)] == "@"):
+                address = next(addresses, None)
+            if other and other.start() < at:
+                other = _FOUND.search(text, at)
+            if not address and not other:
+                break
+            if address and (not other or max(address[0], at) <= other.start()):
+                start, ends, take = max(address[0], at), [address[1]], self._email
+                address = next(addresses, None)
+            else:
+                start, take, ends = other.start(), self.kinds[other.lastgroup], [other.end()]
+                if other.lastgroup == "ip" and _VERSION.search(text, max(0, start - 16), start):
+                    at = other.end()
+                    continue
+                if other.lastgroup in ("number", "iban"):  # a value may be followed by what looks like another group of it
+                    ends += [k for k in range(other.end() - 1, start, -1) if text[k] in " -"]
+            at = max(at, start + (take != self._email))
             for end in ends:
                 if made := take(text[start:end]):
                     kind, new = made
@@ -231,7 +286,8 @@ def pseudonymise(docs: DataFrame, key: bytes, back: bool = False) -> DataFrame:
 
     Null texts stay null with nothing found. Rows are taken one by one, so repeated rows give the same again. Other columns are
     ignored. Kinds: card (Luhn), iban (mod 97), date, ssn, ip, phone, email, secret (long hex); long numbers that fail
-    their check are left alone. Undone dates are the same days, of the padding that the pseudonym had.
+    their check are left alone, as are four numbers behind a word such as version. A day has one pseudonym in all formats, of
+    the same length in each. Of an address, only the top-level domain stays. An empty table gives no rows.
     """
     bounded_batches(docs.sparkSession)
 
