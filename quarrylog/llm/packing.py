@@ -9,10 +9,12 @@ tasks do. What is left at a partition's end becomes sequences of power-of-two le
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 import zlib
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -59,10 +61,23 @@ class _Pieces(dict):
         return found
 
 
+#: What a vocabulary's file says of how texts are normalised and split, if they are handled piece by piece here. Fixed values.
+_KNOWN = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
+
 class WordTokenizer:
-    """Ids of a vocabulary that splits at white space and then into words, as bytes of little-endian unsigned 32-bit ids.
+    """Ids of a vocabulary, as bytes of little-endian unsigned 32-bit ids.
 
-    As no token crosses white space, the ids of a text are those of its pieces between spaces; they are kept for up to
+    Vocabularies that split texts as _KNOWN says are handled piece by piece; texts go to any other's tokenizer whole. As no token crosses white space, the ids of a text are those of its pieces between spaces; they are kept for up to
     `most` pieces met before. Texts with code points from U+0250 on are not lower-cased or split here: their pieces go
     to the tokenizer as they are.
     """
@@ -72,6 +87,8 @@ class WordTokenizer:
 
         self.encode = Tokenizer.from_file(path)
         self.tokenize = self.encode.model.tokenize
+        own = json.loads(self.encode.to_str())
+        self.known = all(own[k] == v for k, v in _KNOWN.items()) and all(t["content"].startswith("<|") for t in own["added_tokens"])
         self.plain, self.raw = _Pieces(self._plain, most), _Pieces(self._raw, most // 4)
 
     def _raw(self, piece: str) -> bytes:
@@ -84,6 +101,8 @@ class WordTokenizer:
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return b""
+        if not self.known:
+            return self._raw(text)
         if _OTHER.search(text) or "<|" in text:
             return b"".join(map(self.raw.__getitem__, text.replace("\n", " ").split(" ")))
         apart = text.lower()
@@ -204,8 +223,8 @@ class Packer:
 _TOKENIZERS: dict[str, WordTokenizer] = {}
 
 
-def pack(docs: DataFrame, tokenizer: str, limits: Limits | None = None, end_id: int = 1, waiting: int = 512, loss_from: str | None = None, with_ids: bool = False) -> DataFrame:
-    """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, loss_tokens, sequence_id, offset (and ids).
+def pack(docs: DataFrame, tokenizer: str, limits: Limits | None = None, end_id: int = 1, waiting: int = 512, loss_from: str | None = None, with_ids: bool = False, also: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, loss_tokens, sequence_id, offset (and ids, and the columns `also`).
 
     A document is the ids of its text and then end_id; null and empty texts are just end_id. start counts the
     document's ids before the piece, offset those of the sequence. loss_from names a column with the number of a document's
@@ -219,7 +238,7 @@ def pack(docs: DataFrame, tokenizer: str, limits: Limits | None = None, end_id:
     limits = limits or Limits()
     bounded_batches(docs.sparkSession)
     first_loss = F.coalesce(F.col(loss_from).cast("long"), F.lit(0)) if loss_from else F.lit(0).cast("long")
-    body = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), first_loss.alias("first"))
+    body = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), first_loss.alias("first"), *(F.col(c).alias(f"also_{c}") for c in also))
 
     def run(batches):
         if tokenizer not in _TOKENIZERS:
@@ -244,15 +263,21 @@ def pack(docs: DataFrame, tokenizer: str, limits: Limits | None = None, end_id:
                     "offset": ([o for *_, o in out], pa.int64()),
                 }
                 | ({"ids": (ids, pa.binary())} if with_ids else {})
+                | {c: ([r[3][k] for r, *_ in out], kind) for k, (c, kind) in enumerate(zip(also, own, strict=True))}
             )
 
+        own = [pa.null()] * len(also)
         for batch in batches:
-            for doc, text, first in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), batch["first"].to_pylist(), strict=True):
+            own = [batch[f"also_{c}"].type for c in also]
+            rest = zip(*(batch[f"also_{c}"].to_pylist() for c in also), strict=True) if also else repeat(())
+            for doc, text, first, more in zip(*(batch[c].to_pylist() for c in ("doc_id", "text", "first")), rest):  # noqa: B905  rest may be endless
                 ids = ids_of(text) + end
-                packer.add((doc, ids, first), len(ids) // 4, first)
+                packer.add((doc, ids, first, more), len(ids) // 4, first)
             yield from drained()
         packer.finish()
-        yield from drained()
+        if packer.out:
+            yield from drained()
 
     kinds = {k: "long" for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "loss_tokens", "sequence_id", "offset")}
-    return body.mapInArrow(run, schema(**kinds, **({"ids": "binary"} if with_ids else {})))
+    kept = {c: body.schema[f"also_{c}"].dataType.simpleString() for c in also}
+    return body.mapInArrow(run, schema(**kinds, **({"ids": "binary"} if with_ids else {}), **kept))

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import decontaminate, extract, imatch, lines, packing, pii, quality, simhash, substrings, warc
 
@@ -37,6 +38,13 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER)).drop("loss_tokens")
 
 
+def conversations_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All turns of conversations under limits on tokens, segments and loss-bearing tokens, which the assistant's turns are."""
+    turns = table(spark, sf_dir, "conversations").withColumn("unlearnt", F.when(F.col("role") == "assistant", 0).otherwise(1 << 31)).withColumn("doc_id", F.col("conv_id"))
+    packed = packing.pack(turns, public_tokenizers.path(TOKENIZER), packing.Limits(2048, 12, 1024), loss_from="unlearnt", also=("turn", "role"))
+    return packed.withColumnRenamed("doc_id", "conv_id")
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(table(spark, sf_dir, "documents"), PII_KEY)
 
@@ -65,7 +73,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_simhash, op3_line_dedup, op4_packing, op5_pii, op6_html_extract, op7_substring_dedup, op8_imatch, op9_warc_merkle, op10_quality)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_simhash, op3_line_dedup, op4_packing, op5_pii, op6_html_extract, op7_substring_dedup, op8_imatch, op9_warc_merkle, op10_quality, conversations_packing)}
 
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
