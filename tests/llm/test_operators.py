@@ -1,8 +1,10 @@
 """Each operator against a brute-force version, on small tables with nulls, empty and long texts, ties, repeated rows and clashing columns."""
 
 import hashlib
+import html
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -318,6 +320,45 @@ def test_packing(spark, texts, limits):
     assert packing.pack(documents(spark, []), TOKENIZER).count() == 0
 
 
+def test_ids_are_the_tokenizers_own():
+    from tokenizers import Tokenizer
+
+    plain, own = Tokenizer.from_file(TOKENIZER), packing.WordTokenizer(TOKENIZER)
+    draw = random.Random(6)
+    signs = [*"abzAZ_019 ,.\n\t'-!?<|>()\x00\x1c\x1d\x1e\x1f\x0b\x0c\r\x85\xa0\xad\u0300\u0301\u0130\u0131\xdf\u0149\u01c5\u02b0\xe9\xc9\xaa\xb2\xbd\u200d\u3000\u4e2d\ufeff", ", ", ". ", ".\n", "'s", "'S", "_, ", "_. ", "the ", "<|endoftext|>"]
+    for some in (signs, [s for s in signs if max(s) < "\u0250"]):
+        for _ in range(20_000):
+            text = "".join(draw.choices(some, k=draw.randint(1, 14)))
+            assert np.frombuffer(own(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, text
+
+
+def test_other_vocabularies_get_whole_texts(tmp_path):
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    plain = Tokenizer.from_file(TOKENIZER)
+    plain.pre_tokenizer = pre_tokenizers.ByteLevel()
+    plain.save(path := str(tmp_path / "other.json"))
+    own = packing.WordTokenizer(path)
+    for text in ("Some words, of  text. And_, more", "a b", " x"):
+        assert np.frombuffer(own(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
+def test_turns_are_packed_under_all_limits(spark):
+    from quarrylog.llm import queries
+
+    rows = queries.conversations_packing(spark, "/root/testdata/sf0.001").collect()
+    sequences = {}
+    for r in rows:
+        sequences.setdefault(r.sequence_id, []).append(r)
+    for own in sequences.values():
+        assert builtins_sum(r.length for r in own) <= 2048 and len(own) <= 12 and builtins_sum(r.loss_tokens for r in own) <= 1024
+    assert all(r.loss_tokens == (r.length if r.role == "assistant" else 0) for r in rows)
+    pieces = {}
+    for r in rows:
+        pieces.setdefault((r.conv_id, r.turn, r.role), []).append(r.length)
+    assert spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").select("conv_id", "turn", "role").distinct().count() == len(pieces)
+
+
 def test_pii(spark):
     key, texts = b"k", ["card 4111 1111 1111 1111, again 4111-1111-1111-1111", "4111111111111112 is none", None, "", "on 2024-02-29, 31.12.1999 and 02/28/2001; not 2023-02-30", "call +1 (017) 555-7713 or und.34@mail7.example.com from 97.51.17.173", "DE89 3704 0044 0532 0130 00 and 123-45-6789", "4111111111111111"]
     got = {r.doc_id: r for r in pii.pseudonymise(documents(spark, texts), key).collect()}
@@ -334,6 +375,72 @@ def test_pii(spark):
     assert {r.doc_id: r.text for r in pii.pseudonymise(documents(spark, texts), b"other").collect()} != {d: r.text for d, r in got.items()}
 
 
+def test_days_are_linked_across_formats():
+    names, back = pii.Pseudonyms(b"k"), pii.Pseudonyms(b"k", True)
+    text = "2020-02-28 28/02/2020 02/28/2020 2/28/2020 28.2.2020 2020/2/28 3/4/2020 03/04/2020 11/12/1999"
+    made, found = names.replace(text)
+    assert [f[2] for f in found] == ["date"] * 9 and len(made) == len(text)
+    numbers = [sorted(map(int, re.split("[-/.]", f[3]))) for f in found]
+    assert all(x == numbers[0] for x in numbers[:6]) and numbers[6] == numbers[7] and numbers[0] != [2, 28, 2020]
+    assert back.replace(made)[0] == text
+
+
+def test_addresses_and_versions():
+    names = pii.Pseudonyms(b"k")
+    for text, n in [("a.b@x.co, c@mail.example.com. d@e", 2), ("@x.com a@@b.com x.@y.com", 0), ("version 1.2.3.4, v1.2.3.4, Release: 1.2.3.4", 0), ("at 1.2.3.4", 1), ("a@b.com9 c@d.e-f", 1)]:
+        made, found = names.replace(text)
+        assert len(found) == n and (made == text) == (n == 0)
+        assert pii.Pseudonyms(b"k", True).replace(made)[0] == text
+
+
+def test_long_runs_take_linear_time():
+    draw = random.Random(1)
+    for text in ("".join(draw.choices("0123456789", k=1 << 20)), "".join(draw.choices("ABCDEFabcdefXYZ0123456789+/", k=1 << 20)), "a@" * (1 << 19), "a." * (1 << 19) + "@"):
+        began = time.time()
+        pii.Pseudonyms(b"k").replace(text)
+        assert time.time() - began < 20
+
+
+def test_planted_values_are_found_and_undone(spark):
+    """Valid values of every kind among words and invalid ones: these and no others are found, keep their form, and can be undone."""
+    draw = random.Random(5)
+    digits = lambda n: "".join(draw.choices("0123456789", k=n))
+
+    def card():
+        body = "4" + digits(14)
+        return body + pii.luhn_digit(body)
+
+    def iban():
+        body = "DE00" + digits(18)
+        return body[:2] + f"{98 - pii.iban_rest(body):02d}" + body[4:]
+
+    valid = {"card": card, "iban": iban, "email": lambda: f"x{digits(3)}@mail.example.org", "ip": lambda: ".".join(str(draw.randint(1, 255)) for _ in range(4)), "date": lambda: f"{draw.randint(1, 28):02d}.{draw.randint(1, 12):02d}.{draw.randint(1900, 2099)}", "ssn": lambda: f"{draw.randint(1, 665):03d}-{draw.randint(1, 99):02d}-{draw.randint(1, 9999):04d}", "secret": lambda: "a1" + "".join(draw.choices("0123456789abcdef", k=38)), "phone": lambda: f"+1 ({digits(3)}) 555-{digits(4)}"}
+    invalid = [lambda: "31.02.2001", lambda: "300.1.1.1", lambda: "000-11-2222", lambda: (c := card())[:-1] + str((int(c[-1]) + 1) % 10), lambda: "no@where"]
+    texts, planted = [], []
+    for _ in range(200):
+        words, own = [], []
+        for _ in range(draw.randint(1, 12)):
+            kind = draw.random()
+            if kind < 0.3:
+                own.append((name := draw.choice(list(valid)), value := valid[name]()))
+                words.append(value)
+            elif kind < 0.5:
+                words.append(draw.choice(invalid)())
+            words.append("".join(draw.choices("qrstu", k=4)))
+        texts.append(" ".join(words))
+        planted.append(own)
+    got = sorted(pii.pseudonymise(documents(spark, texts), b"k").collect(), key=lambda r: r.doc_id)
+    seen = {}
+    for r, text, own in zip(got, texts, planted, strict=True):
+        assert [(f.kind, text[f.start : f.end]) for f in r.found] == own and r.n_found == len(own)
+        assert len(r.text) == len(text) or any(k == "ip" for k, _ in own)
+        for f in r.found:
+            assert seen.setdefault((f.kind, text[f.start : f.end]), f.pseudonym) == f.pseudonym
+    assert len(set(seen.values())) == len(seen)
+    back = pii.pseudonymise(documents(spark, [r.text for r in got]), b"k", back=True).collect()
+    assert [r.text for r in sorted(back, key=lambda r: r.doc_id)] == texts
+
+
 @pytest.mark.parametrize("size", [1, 2, 10, 898, 4096])
 def test_feistel_networks_permute(size):
     net = pii.Feistel(b"key")
@@ -376,14 +483,43 @@ def test_extraction_of_broken_pages(spark, tree):
     assert len(got) == 8 and all(r.n_chars == len(r.text) for r in got)
 
 
+def plain_article(page):
+    """The blocks of the one article of a page of the test tables."""
+    inner = page[page.index("<article>") + 9 : page.index("</article>")]
+    blocks = (re.sub("<[^>]*>", "", x.replace("<br>", " ")) for x in re.split("</?(?:h1|p)>", inner))
+    return "\n\n".join(t for t in (" ".join(html.unescape(x).split()) for x in blocks) if t)
+
+
+def test_extraction_against_the_articles_of_all_pages(spark):
+    """Every row of the query, against the article that stands in the page's source."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    source = {r.page_id: r for r in pages.collect()}
+    got = extract.extract(pages).collect()
+    assert len(got) == len(source)
+    for r in got:
+        assert (r.url, r.text, r.n_chars) == (source[r.page_id].url, plain_article(source[r.page_id].html), len(r.text))
+
+
+@pytest.mark.parametrize("k", [1, 40, 80, 200, 2000])
+def test_long_lists_of_short_blocks_stay(tree, k):
+    page = "<body><nav><ul><li><a href=/>Home</a></ul></nav><article><h1>Rech.</h1>" + "<p>Les Rech.</p>" * k + "</article><footer>me</footer>"
+    assert extract.main_text(page, tree) == "\n\n".join(["Rech.", *["Les Rech."] * k])
+
+
+def test_scripts_and_quotes(tree):
+    article = "<article><h1>A title</h1><p>Some text of the article here, and a little more of it.</p>{}</article>"
+    for odd, more in [("<script src=/x/>var a=1;</script>", ""), ("<script src='a.js'/>var a=1;</script>", ""), ("<style/>p{}</style>", ""), ("<svg/>", ""), ("<div class=foo/></div>", ""), ('<p><a title="it>word</a> and more words.</p>', "\n\nword and more words."), ("<p title=it's>More words here.</p>", "\n\nMore words here.")]:
+        assert extract.main_text(article.format(odd), tree) == "A title\n\nSome text of the article here, and a little more of it." + more
+
+
 def test_messages_are_exact(tree):
     """Against all labellings of a small tree."""
-    nodes, _ = extract.parse("<div><p>some words</p><ul><li><a href=x>one</a><li>two</ul></div>")
+    nodes, _ = extract.parse("<div><p>some words</p><ul><li><a href=x>one</a>" + "<li>two" * 6 + "</ul></div>")
     odds, _, feats, kinds = tree.messages(nodes)
     weight = {}
     for bits in range(1 << len(nodes)):
         own = [bits >> k & 1 for k in range(len(nodes))]
-        s = builtins_sum(builtins_sum(tree.unary[i] for i in feats[k]) * own[k] for k in range(len(nodes)))
+        s = builtins_sum(nodes[k].share * builtins_sum(tree.unary[i] for i in feats[k]) * own[k] for k in range(len(nodes)))
         s += builtins_sum(tree.edge[kinds[k]][2 * own[nodes[k].parent] + own[k]] for k in range(1, len(nodes)))
         weight[tuple(own)] = np.exp(s)
     for k in range(len(nodes)):
