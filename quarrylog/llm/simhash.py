@@ -67,28 +67,46 @@ def bucket_masks(n: int, radius: int = 3, most: int = 64) -> list[int]:
 
 
 class Planes:
-    """Fingerprints as bit planes: plane b is an integer whose bit i is bit b of fingerprint i."""
+    """Fingerprints as bit planes: plane b holds bit b of every fingerprint, eight to a byte. LANES of them are compared at a time,
+    and each such block is abandoned by itself, as soon as all of its lanes are over the radius."""
+
+    LANES = 4096
 
     def __init__(self, fps: np.ndarray):
         bits = np.unpackbits(np.ascontiguousarray(fps, "<u8").view(np.uint8).reshape(len(fps), -1), axis=1, bitorder="little")
         packed = np.packbits(bits, axis=0, bitorder="little")
-        self.planes = [int.from_bytes(packed[:, b].tobytes(), "little") for b in range(bits.shape[1])]
-
-    def near(self, shift: int, lanes: int, radius: int) -> int:
-        """Bit i: fingerprints i and i + shift differ in `radius` bits or fewer, for the lanes asked for."""
-        width = radius.bit_length()
+        self.planes = [np.ascontiguousarray(packed[:, b]).tobytes() for b in range(bits.shape[1])]
+        self.looked = 0  # planes of blocks that were compared so far
+
+    def near(self, shift: int, asked: np.ndarray, radius: int) -> np.ndarray:
+        """The places i asked for such that fingerprints i and i + shift differ in `radius` bits or fewer."""
+        found = [np.array([], np.int64)]
+        for start in range(0, len(asked), self.LANES):
+            part = asked[start : start + self.LANES]
+            if part.any():
+                lanes = self._block(start, shift, int.from_bytes(np.packbits(part, bitorder="little").tobytes(), "little"), radius)
+                if lanes:
+                    bits = np.unpackbits(np.frombuffer(lanes.to_bytes((len(part) + 7) // 8, "little"), np.uint8), bitorder="little")
+                    found.append(start + np.nonzero(bits)[0])
+        return np.concatenate(found)
+
+    def _block(self, start: int, shift: int, lanes: int, radius: int) -> int:
+        width, size = radius.bit_length(), self.LANES >> 3
         counters, over = [0] * width, 0
-        for b, plane in enumerate(self.planes):
-            carry = plane ^ (plane >> shift)
+        a, b, rest = start >> 3, start + shift >> 3, start + shift & 7
+        for n, plane in enumerate(self.planes):
+            carry = int.from_bytes(plane[a : a + size], "little") ^ (int.from_bytes(plane[b : b + size + 1], "little") >> rest)
             for k in range(width):
                 counters[k], carry = counters[k] ^ carry, counters[k] & carry
             over |= carry
-            if b % 8 == 7:
+            if n % 8 == 7:
+                self.looked += 8
                 if radius + 1 != 1 << width:  # the counters reach beyond the radius
                     over |= _above(counters, radius)
-                if not lanes & ~over:
-                    return 0
-        return lanes & ~over
+                lanes &= ~over
+                if not lanes:
+                    break
+        return lanes
 
 
 def _above(counters: list[int], radius: int) -> int:
@@ -106,20 +124,14 @@ def _above(counters: list[int], radius: int) -> int:
 def _near(fps: np.ndarray, ids: np.ndarray, sizes: np.ndarray, radius: int, label: np.ndarray):
     """(places i, shift) such that i and i + shift are in one bucket, within the radius, and of different labels; rows are
     in order of falling bucket size. Labels may be changed between steps."""
-    n = len(fps)
-    held, planes = 2 * n + 1, None
-    for shift in range(1, int(sizes[0]) if n else 0):
+    planes = Planes(fps)
+    for shift in range(1, int(sizes[0]) if len(fps) else 0):
         prefix = int(np.searchsorted(-sizes, -shift, side="left"))  # the rows in buckets of more than `shift`
-        if prefix <= held // 2 or planes is None:
-            held, planes = prefix, Planes(fps[:prefix])
         # lanes of a bucket, and of those only pairs that are not linked yet
         asked = (ids[: prefix - shift] == ids[shift:prefix]) & (label[: prefix - shift] != label[shift:prefix])
-        if not asked.any():
-            continue
-        near = planes.near(shift, int.from_bytes(np.packbits(asked, bitorder="little").tobytes(), "little"), radius)
-        if near:
-            bits = np.unpackbits(np.frombuffer(near.to_bytes((prefix + 7) // 8, "little"), np.uint8), bitorder="little")
-            yield np.nonzero(bits)[0], shift
+        places = planes.near(shift, asked, radius)
+        if len(places):
+            yield places, shift
 
 
 def _by_size(bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -129,21 +141,16 @@ def _by_size(bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return order, inverse[order], count[inverse][order]
 
 
-def _join(label: np.ndarray, places: np.ndarray, shift: int) -> list[int]:
-    """Joins the labels of i and i + shift; the places i whose pair joined two that were apart."""
-    made = []
-    for i in places.tolist():
-        a, b = i, i + shift
-        while label[a] != a:
-            a = label[a]
-        while label[b] != b:
-            b = label[b]
-        if a != b:
-            label[max(a, b)] = min(a, b)
-            made.append(i)
-    while not np.array_equal(label, deeper := label[label]):
-        label[:] = deeper
-    return made
+def _join(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Joins the labels of places a and b, each with each, and makes every label that of its group's first place."""
+    while True:
+        x, y = label[a], label[b]
+        apart = x != y
+        if not apart.any():
+            return
+        np.minimum.at(label, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+        while not np.array_equal(label, deeper := label[label]):
+            label[:] = deeper
 
 
 def linked(fps: np.ndarray, bucket: np.ndarray, radius: int) -> np.ndarray:
@@ -155,20 +162,16 @@ def linked(fps: np.ndarray, bucket: np.ndarray, radius: int) -> np.ndarray:
         return label
     order, ids, sizes = _by_size(bucket)
     for places, shift in _near(fps[order], ids, sizes, radius, label):
-        _join(label, places, shift)
+        _join(label, places, places + shift)
     out = np.empty(n, np.int64)
     out[order] = order[label]
     return out
 
 
-def near_pairs(fps: np.ndarray, bucket: np.ndarray, radius: int, label: np.ndarray | None = None):
-    """Arrays of places (a, b) that share a bucket and lie within the radius: all pairs of different labels, or, without labels,
-    as many as span what they link."""
+def near_pairs(fps: np.ndarray, bucket: np.ndarray, radius: int, label: np.ndarray):
+    """Arrays of places (a, b) that share a bucket and lie within the radius, of different labels."""
     order, ids, sizes = _by_size(bucket)
-    joined = np.arange(len(fps)) if label is None else label[order]
-    for places, shift in _near(fps[order], ids, sizes, radius, joined):
-        if label is None:
-            places = np.array(_join(joined, places, shift), np.int64)
+    for places, shift in _near(fps[order], ids, sizes, radius, label[order]):
         yield order[places], order[places + shift]
 
 
@@ -201,21 +204,6 @@ def _bucket_links(radius: int, words: int):
     return run
 
 
-def _bucket_pairs(radius: int, words: int, labelled: bool):
-    """Pairs of representatives (a < b) inside each bucket that lie within the radius: all of different components, or those that span."""
-
-    def run(batches):
-        if not (found := _buckets(batches, words, *["component"] * labelled)):
-            return
-        fps, bucket, rep, *label = found
-        for i, j in near_pairs(fps, bucket, radius, *label):
-            a, b = np.minimum(rep[i], rep[j]), np.maximum(rep[i], rep[j])
-            for at in range(0, len(a), 1 << 16):
-                yield batch_of({"a": (a[at : at + (1 << 16)], pa.int64()), "b": (b[at : at + (1 << 16)], pa.int64())})
-
-    return run
-
-
 def _dealt(reps: DataFrame, keys: list, n: int, tile: int, scratch: Scratch, name: str = "hot") -> DataFrame:
     """Rows of reps once for each key and tile, (t, key, tile, ...), dealt to partitions by these."""
     spark = scratch.spark
@@ -228,7 +216,7 @@ def _dealt(reps: DataFrame, keys: list, n: int, tile: int, scratch: Scratch, nam
         pairs = F.expr("transform(filter(sequence(0, tiles - 1), x -> x <> own), x -> least(x, own) * tiles + greatest(x, own))")
         tiled = spread.join(hot, ["t", "key"], "left").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
         tiled = tiled.withColumn("tile", F.explode(F.when(F.col("tiles").isNull(), F.array(F.lit(0))).otherwise(pairs))).drop("tiles", "own")
-    deal = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n * len(keys) // 2_000_000)
+    deal = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n * len(keys) // 200_000)
     return tiled.repartition(deal, "t", "key", "tile")
 
 
@@ -298,17 +286,15 @@ def _wide(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(2 * counts > len(hashes), axis=1, bitorder="little").view("<u8").reshape(-1)
 
 
-def wide_radius(similarity: float, sigmas: float = 2) -> int:
-    """The distance of wide fingerprints at which shingle sets of this Jaccard similarity lie, and so many standard
-    deviations of it: the cosine of two sets of like size is 2J / (1 + J), and a bit differs with probability angle / pi."""
-    p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+def wide_radius(similarity: float, least: np.ndarray | int, sigmas: float = 5) -> np.ndarray:
+    """The distance of wide fingerprints up to which shingle sets of this Jaccard similarity lie, the smaller of which has `least` members,
+    with so many standard deviations of it: the cosine of two sets of like size is 2J / (1 + J), and a bit differs with probability
+    angle / pi; in small sets, whose sums are coarse, somewhat more often (4 of 5: 3/16)."""
+    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi + 0.25 / np.asarray(least, float)
     n = BITS * WIDE
-    return int(n * p + sigmas * np.sqrt(n * p * (1 - p)))
+    return np.ceil(n * p + sigmas * np.sqrt(n * p * (1 - p))).astype(np.int64)
 
 
-#: Bits beyond the mean distance at the similarity, in standard deviations, up to which a pair is a candidate: also in
-#: small sets (4 of 5 shingles differ in 48 bits on average, not 39) all but one pair in about 100,000 lies within.
-_WIDER = 6.5
 #: A key is made of so many least shingles: two sets share it with probability similarity ** ROWS, whatever their size.
 ROWS = 5
 
@@ -340,42 +326,127 @@ def tables_for(similarity: float, miss: float = 1e-4) -> int:
     return int(np.ceil(np.log(miss) / np.log1p(-min(similarity**ROWS, 1 - 1e-9))))
 
 
-def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
-    """Whether two sorted sets have a Jaccard similarity of `similarity` or more."""
-    common = len(np.intersect1d(a, b, assume_unique=True))
+def _near_members(similarity: float, sigmas: float):
+    """The rows (rep, t, key, tile, component) of those that have, in their bucket, another of like size within the radius for it
+    and of another component."""
+
+    def run(batches):
+        if not (found := _buckets(batches, WIDE, "n", "component", "t", "key", "tile")):
+            return
+        fps, bucket, rep, n, label, *place = found
+        chosen = np.zeros(len(rep), bool)
+        for a, b in near_pairs(fps, bucket, int(wide_radius(similarity, 4, sigmas)), label):
+            good = _in_reach(fps, n, a, b, similarity, sigmas)
+            chosen[a[good]] = chosen[b[good]] = True
+        names = ("rep", "component", "t", "key", "tile")
+        for at in np.array_split(np.nonzero(chosen)[0], 1 + int(chosen.sum()) // 50_000):
+            yield batch_of({k: (x[at], pa.from_numpy_dtype(x.dtype)) for k, x in zip(names, (rep, label, *place), strict=True)})
+
+    return run
+
+
+def _in_reach(fps, n, a, b, similarity: float, sigmas: float) -> np.ndarray:
+    """Which pairs could have the similarity, by the sizes of their sets and by their distance."""
+    low, high = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
+    numerator, denominator = Fraction(str(similarity)).as_integer_ratio()
+    distance = np.bitwise_count(fps[a] ^ fps[b]).sum(axis=1)
+    return (denominator * low >= numerator * high) & (distance <= wide_radius(similarity, low, sigmas))
+
+
+def links_of(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, label: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Of the pairs of places (a, b) those that have the similarity, by the whole sets; pairs whose labels earlier ones have
+    joined are left out. Labels change."""
     numerator, denominator = Fraction(str(similarity)).as_integer_ratio()
-    return denominator * common >= numerator * (len(a) + len(b) - common)
+    used, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = place[: len(a)], place[len(a) :]
+    sizes = np.array([len(sets[i]) for i in used])
+    words, items = np.unique(np.concatenate([sets[i] for i in used]), return_inverse=True)
+    ends = np.cumsum(sizes)
+    own = [items[e - n : e] for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
+    labels, here, out = label[used], np.zeros(len(words), bool), []
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    edges = np.r_[np.nonzero(np.r_[True, a[1:] != a[:-1]])[0], len(a)]
+    for s, e in zip(edges.tolist(), edges[1:].tolist(), strict=False):
+        i = int(a[s])
+        others = b[s:e][labels[b[s:e]] != labels[i]]
+        for k in range(0, len(others), 256):
+            part = others[k : k + 256]
+            here[own[i]] = True
+            common = np.add.reduceat(here[np.concatenate([own[j] for j in part])], np.r_[0, np.cumsum(sizes[part])[:-1]], dtype=np.int64)
+            here[own[i]] = False
+            for j in part[denominator * common >= numerator * (sizes[i] + sizes[part] - common)]:
+                if labels[j] != labels[i]:
+                    labels[labels == max(labels[i], labels[j])] = min(labels[i], labels[j])
+                    out.append((int(used[i]), int(used[j])))
+    return out
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of doc_ids with rows whose shingle sets are alike, held against each other in full."""
+def _set_rows(shingle: int):
+    """The whole set of each document's shingles, once for each bucket that it is a member of."""
 
-    def sets(batches):
+    def run(batches):
         for batch in batches:
-            yield batch_of({"node": (batch["doc_id"], pa.int64()), "own": ([shingle_set(t, shingle).tobytes() for t in batch["text"].to_pylist()], pa.binary())})
+            for rep, component, text, places in zip(*(batch[c].to_pylist() for c in ("doc_id", "component", "text", "places")), strict=True):
+                own = shingle_set(text, shingle)
+                for at in range(0, len(places), 64) if len(own) else ():
+                    part = places[at : at + 64]
+                    k = len(part)
+                    fields = {c: ([x[c] for x in part], kind) for c, kind in (("t", pa.int32()), ("key", pa.int64()), ("tile", pa.int32()))}
+                    yield batch_of(fields | {"rep": ([rep] * k, pa.int64()), "component": ([component] * k, pa.int64()), "own": ([own.tobytes()] * k, pa.binary())})
 
-    def check(batches):
+    return run
+
+
+def _verified(similarity: float, sigmas: float, rows: int = 2048, size: int = 64 << 20):
+    """Links (a, b) that join the members of each bucket (t, key, tile) which have the similarity: near ones by their fingerprints,
+    held against each other on their whole sets. Buckets stream by, sorted, and no pair leaves but a link."""
+
+    def told(held):
+        bucket, rep, component, own = ([x for part in held for x in part[k]] for k in range(4))
+        sets = [np.frombuffer(x, np.uint64) for x in own]
+        codes = {b: k for k, b in enumerate(dict.fromkeys(bucket))}
+        bucket, label = np.array([codes[b] for b in bucket]), np.array(component)
+        fps, n = np.stack([_wide(x) for x in sets]), np.array([len(x) for x in sets])
+        a, b = ([np.array([], np.int64)] for _ in range(2))
+        for i, j in near_pairs(fps, bucket, int(wide_radius(similarity, 4, sigmas)), label):
+            good = _in_reach(fps, n, i, j, similarity, sigmas)
+            a.append(i[good])
+            b.append(j[good])
+        found = links_of(sets, np.concatenate(a), np.concatenate(b), label, similarity) if len(a) > 1 else []
+        return batch_of({"a": ([rep[i] for i, _ in found], pa.int64()), "b": ([rep[j] for _, j in found], pa.int64())})
+
+    def run(batches):
+        held, n, weight = [], 0, 0
         for batch in batches:
-            a, b, left, right = (batch[c].to_pylist() for c in ("a", "b", "left", "right"))
-            good = [any(alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), similarity) for x in xs if x for y in ys if y) for xs, ys in zip(left, right, strict=True)]
-            yield batch_of({"a": ([x for x, g in zip(a, good, strict=True) if g], pa.int64()), "b": ([x for x, g in zip(b, good, strict=True) if g], pa.int64())})
+            part = [list(zip(*(batch[c].to_pylist() for c in ("t", "key", "tile")), strict=True)), *(batch[c].to_pylist() for c in ("rep", "component", "own"))]
+            held.append(part)
+            n, weight = n + batch.num_rows, weight + batch.nbytes
+            last = part[0][-1] if part[0] else None
+            if (n >= rows or weight >= size) and last is not None and held[0][0] and held[0][0][0] != last:  # whole buckets only
+                whole = [x for p in held for x in p[0]]
+                cut = whole.index(last)
+                cols = [[x for p in held for x in p[k]] for k in range(4)]
+                yield told([[x[:cut] for x in cols]])
+                held = [[x[cut:] for x in cols]]
+                n, weight = len(cols[0]) - cut, sum(map(len, held[0][3]))
+        if n:
+            yield told(held)
 
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    found = texts(docs).join(nodes, "doc_id", "left_semi").mapInArrow(sets, schema(node="long", own="binary"))
-    found = found.groupBy("node").agg(F.collect_set("own").alias("own"))  # repeated doc_ids may have several
-    left, right = (found.select(F.col("node").alias(c), F.col("own").alias(side)) for c, side in (("a", "left"), ("b", "right")))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(check, schema(a="long", b="long"))
+    return run
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, tile: int = 4096) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, tile: int = 1024) -> DataFrame:
     """docs with one document, that of the smallest doc_id, of each group of near-duplicates; all columns stay.
 
     Near-duplicates have a Jaccard similarity of `similarity` or more on distinct word shingles; groups are what such links
     join. Candidates share a key of least shingles, of which a pair at the similarity has none with probability 0.0001,
-    and have wide fingerprints within a radius that is far beyond that of the similarity; each is then held against the other on its
-    whole set of shingles (64-bit hashes), so no pair below the similarity is linked. Equal sets are one node. Nodes
-    that a first round of spanning candidates joins are not compared again. Documents without words stay, as do rows with a null doc_id.
-    Repeated rows of a doc_id stay or go together.
+    have sets of like size, and wide fingerprints within the distance at which such sets lie and five standard deviations of it. Members of
+    buckets that have a candidate there meet again with their whole sets of shingles (64-bit hashes) and are held against
+    each other, so no pair below the similarity is linked, and no pairs but links leave a task. Equal sets are one node. A first round
+    over two keys joins most copies, and nodes that it joins are not compared again. A bucket of more than `tile` nodes is dealt to
+    pairs of tiles. Documents without words stay, as do rows with a null doc_id. Repeated rows of a doc_id stay or go together. An
+    empty table gives no rows.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -384,31 +455,38 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, tile: i
 
     def run(batches):
         for batch in batches:
-            ids, marks, words, keys = [], [], [], []
+            ids, marks, sizes, words, keys = [], [], [], [], []
             for d, t in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 if d is not None and len(hashes := shingle_set(t, shingle)):
                     ids.append(d)
                     marks.append(xxhash.xxh3_128_digest(hashes.tobytes()))
+                    sizes.append(len(hashes))
                     words.append(_wide(hashes))
                     keys.append(least_keys(hashes, tables).view(np.int64))
             words = np.array(words, np.uint64).reshape(-1, WIDE).view(np.int64)
-            yield batch_of({"doc_id": (ids, pa.int64()), "mark": (marks, pa.binary()), "keys": (keys, pa.list_(pa.int64()))} | {c: (words[:, k], pa.int64()) for k, c in enumerate(fps)})
+            yield batch_of({"doc_id": (ids, pa.int64()), "mark": (marks, pa.binary()), "n": (sizes, pa.int32()), "keys": (keys, pa.list_(pa.int64()))} | {c: (words[:, k], pa.int64()) for k, c in enumerate(fps)})
 
-    own = scratch.write(texts(docs).mapInArrow(run, schema(doc_id="long", mark="binary", keys="array<long>", **dict.fromkeys(fps, "long"))), "wide")
+    own = scratch.write(texts(docs).mapInArrow(run, schema(doc_id="long", mark="binary", n="int", keys="array<long>", **dict.fromkeys(fps, "long"))), "wide")
     least = own.groupBy("mark").agg(F.min("doc_id").alias("rep"))
-    reps = scratch.write(own.join(least, "mark").where("doc_id = rep").dropDuplicates(["mark"]).select("mark", "rep", "keys", *fps), "reps")
+    reps = scratch.write(own.join(least, "mark").where("doc_id = rep").dropDuplicates(["mark"]).select("mark", "rep", "n", "keys", *fps), "reps")
     n = reps.count()
-    keys = [F.col("keys")[k] for k in range(tables)]
-    nodes = reps.select("rep", "keys", *fps)
-    first = _dealt(nodes, keys, n, tile, scratch).select("t", "key", "tile", "rep", *fps).mapInArrow(_bucket_pairs(wide_radius(similarity, 0), WIDE, False), schema(a="long", b="long"))
-    pairs = scratch.write(first.where("a <> b").distinct(), "pairs0")
-    links = scratch.write(_verified(pairs, docs, shingle, similarity), "links0")
-    known = scratch.write(connected_components(links, scratch, "cc0_"), "known")
-    nodes = nodes.join(known, nodes.rep == known.node, "left").select("rep", "keys", *fps, F.coalesce("component", "rep").alias("component"))
-    second = _dealt(nodes, keys, n, tile, scratch, "hot1").select("t", "key", "tile", "rep", "component", *fps).mapInArrow(_bucket_pairs(wide_radius(similarity, _WIDER), WIDE, True), schema(a="long", b="long"))
-    pairs = scratch.write(second.where("a <> b").distinct(), "pairs1")
-    links = links.union(scratch.write(_verified(pairs, docs, shingle, similarity), "links1"))
+
+    def links(nodes: DataFrame, tables: int, sigmas: float, name: str) -> DataFrame:
+        """The links that join nodes of different components which share one of the first `tables` keys."""
+        dealt = _dealt(nodes, [F.col("keys")[k] for k in range(tables)], n, tile, scratch, f"hot{name}")
+        members = dealt.mapInArrow(_near_members(similarity, sigmas), schema(rep="long", component="long", t="int", key="long", tile="int"))
+        members = members.groupBy("rep").agg(F.min("component").alias("component"), F.collect_list(F.struct("t", "key", "tile")).alias("places"))
+        sets = texts(docs).join(members.withColumnRenamed("rep", "doc_id").hint("shuffle_hash"), "doc_id").mapInArrow(_set_rows(shingle), schema(t="int", key="long", tile="int", rep="long", component="long", own="binary"))
+        met = sets.repartition("t", "key", "tile").sortWithinPartitions("t", "key", "tile")
+        return scratch.write(met.mapInArrow(_verified(similarity, sigmas), schema(a="long", b="long")), f"links{name}")
+
+    nodes = reps.select("rep", "n", "keys", *fps)
+    first = links(nodes.withColumn("component", F.col("rep")), min(2, tables), 0, "0")
+    known = scratch.write(connected_components(first, scratch, "cc0_"), "known")
+    nodes = nodes.join(known, nodes.rep == known.node, "left").select("rep", "n", "keys", *fps, F.coalesce("component", "rep").alias("component"))
+    every = first.union(links(nodes, tables, 5, "1"))
     same = own.join(reps.select("mark", "rep"), "mark").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    found = connected_components(links.union(same), scratch)
+    found = connected_components(every.union(same), scratch)
     extra = scratch.write(found.where("node <> component").select(F.col("node").alias("__extra")).distinct(), "extra")
+    scratch.drop("wide", "reps", "links0", "links1", "known", "hot0", "hot1")
     return docs.join(extra, docs.doc_id == extra["__extra"], "left_anti")
