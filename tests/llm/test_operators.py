@@ -134,6 +134,20 @@ def test_bit_planes(radius):
         assert {frozenset(x for x in mine if root[x] == r) for r in {root[x] for x in mine}} == {frozenset(v for v in mine if c[v] == k) for c in [hamming_components({x: int(fps[x]) for x in mine}, radius)] for k in set(c.values())}
 
 
+def test_blocks_of_lanes_are_abandoned_one_by_one():
+    """One near pair keeps its own block of lanes going, and no other."""
+    draw = np.random.default_rng(1)
+    fps = draw.integers(0, 1 << 63, (20_000, 4), dtype=np.uint64)
+    planes, asked = simhash.Planes(fps), np.ones(19_990, bool)
+    assert not len(planes.near(10, asked, 3))
+    blocks, looked = 5, planes.looked
+    assert looked <= blocks * 64
+    fps[9_010] = fps[9_000]
+    planes = simhash.Planes(fps)
+    assert planes.near(10, asked, 3).tolist() == [9_000]
+    assert planes.looked <= looked + 256
+
+
 def test_bucket_masks_share_a_block_at_any_size():
     for n in (10, 10**7, 10**10):
         masks = simhash.bucket_masks(n)
@@ -168,7 +182,7 @@ def test_wide_fingerprints_find_similar_texts():
     """Measured on pairs of a Jaccard similarity of 0.8 to 0.85: share that is linked directly, and of pairs below 0.5 that is not."""
     draw = random.Random(5)
     words = ["".join(draw.choices("abcdefghij", k=5)) for _ in range(2000)]
-    radius, near, far, total_near, total_far = simhash.wide_radius(0.8), 0, 0, 0, 0
+    radius, near, far, total_near, total_far = simhash.wide_radius(0.8, 400, 2), 0, 0, 0, 0
     for _ in range(150):
         w = [draw.choice(words) for _ in range(400)]
         for changes in (8, 40):
@@ -201,6 +215,21 @@ def kept_by_hand(texts, least):
     return [i for i, v in enumerate(label) if i == v]
 
 
+def test_links_of_sets():
+    draw = np.random.default_rng(4)
+    for _ in range(30):
+        sets = [np.unique(draw.integers(0, 12, draw.integers(1, 12)).astype(np.uint64)) for _ in range(15)]
+        a, b = map(np.array, zip(*((i, j) for i in range(15) for j in range(i)), strict=True))
+        label, groups = np.arange(15), np.arange(15)
+        for i, j in zip(a, b, strict=True):
+            x, y = set(sets[i].tolist()), set(sets[j].tolist())
+            if 5 * len(x & y) >= 4 * len(x | y):
+                groups[groups == max(groups[i], groups[j])] = min(groups[i], groups[j])
+        for i, j in simhash.links_of(sets, a, b, np.arange(15), 0.8):
+            label[label == max(label[i], label[j])] = min(label[i], label[j])
+        assert label.tolist() == groups.tolist()
+
+
 @pytest.mark.parametrize("size", [9, 24, 300])
 @pytest.mark.parametrize("tile", [4096, 8])
 def test_near_copies_are_those_at_the_similarity(spark, size, tile):
@@ -221,13 +250,13 @@ def test_near_copies_are_those_at_the_similarity(spark, size, tile):
 def test_recall_of_candidates_at_the_similarity():
     """Pairs at 0.8 that share a key and lie within the radius, of sets of 4 and 5 to 400 and 500 shingles: all of 1500."""
     draw, found = np.random.default_rng(3), 0
-    tables, radius = simhash.tables_for(0.8), simhash.wide_radius(0.8, simhash._WIDER)
+    tables = simhash.tables_for(0.8)
     for k in range(1500):
         n = (5, 50, 500)[k % 3]
         both = draw.integers(0, 1 << 63, n, dtype=np.uint64)
         a, b = np.unique(both), np.unique(both[: n * 4 // 5])
         key = (simhash.least_keys(a, tables) == simhash.least_keys(b, tables)).any()
-        found += bool(key and builtins_sum(int(x ^ y).bit_count() for x, y in zip(simhash._wide(a).tolist(), simhash._wide(b).tolist(), strict=True)) <= radius)
+        found += bool(key and builtins_sum(int(x ^ y).bit_count() for x, y in zip(simhash._wide(a).tolist(), simhash._wide(b).tolist(), strict=True)) <= simhash.wide_radius(0.8, len(b)))
     assert found == 1500
 
 
