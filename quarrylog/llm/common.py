@@ -52,6 +52,9 @@ class Scratch:
             self.spark.conf.unset(_CLEAN) if was is None else self.spark.conf.set(_CLEAN, was)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def fresh(self, name: str) -> str:
+        return f"{name}-{uuid.uuid4().hex[:12]}"
+
     def drop(self, *names: str) -> None:
         jvm = self.spark.sparkContext._jvm
         for name in names:

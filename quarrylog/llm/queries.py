@@ -31,7 +31,7 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return lines.LineIndex.build(docs).apply(docs, with_kept=False)
+    return lines.LineIndex.build(docs).apply(docs, with_kept=False, inside=True)
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
