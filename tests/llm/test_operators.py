@@ -282,8 +282,56 @@ def plain_lines(texts, least):
 def test_lines(spark, texts, broadcast, least):
     docs = documents(spark, texts)
     index = lines.LineIndex.build(docs, least, broadcast_keys=broadcast, shard_keys=3)
-    got = index.apply(docs).drop("kept").collect()
-    assert {tuple(r) for r in got} == plain_lines(texts, least) and len(got) == len(texts)
+    for inside in (False, True):
+        got = index.apply(docs, inside=inside).drop("kept").collect()
+        assert {tuple(r) for r in got} == plain_lines(texts, least) and len(got) == len(texts)
+
+
+def test_lines_after_random_changes(spark):
+    """Insertions and deletions move only keys that cross the limit, and filters and answers stay those of an index built anew."""
+    draw = random.Random(9)
+    batches = [["\n".join(f"line {draw.randrange(40)}" for _ in range(draw.randint(1, 6))) for _ in range(12)] for _ in range(6)]
+    frames = [documents(spark, b) for b in batches]
+    index, held = lines.LineIndex.build(frames[0], 4, shard_keys=5), [0]
+    index.PARTS = 3
+    for step in range(7):
+        k = draw.randrange(6)
+        index = index.delete(frames[k]) if k in held else index.insert(frames[k])
+        held = [x for x in held if x != k] if k in held else [*held, k]
+        anew = {}
+        for t in (t for b in held for t in batches[b]):
+            for key in set(t.split("\n")):
+                anew[key] = anew.get(key, 0) + 1
+        assert sorted(r.n for r in index.counts.collect()) == sorted(anew.values())
+        often = {lines.key_hash(x.encode()) for x, n in anew.items() if n >= 4}
+        tables = {r.shard: bytes(r.table) for r in index.filters.collect()}
+        assert builtins_sum(np.count_nonzero(np.frombuffer(t, np.uint16)) for t in tables.values()) == len(often)
+        every = [lines.key_hash(f"line {n}".encode()) for n in range(40)]
+        assert often <= lines._Lookup(index.shards, list(tables.items()), b"")(every)
+        if step % 3 == 2:
+            for frame in frames[:2]:
+                for r in index.apply(frame).collect():
+                    own = batches[frames.index(frame)][r.doc_id].split("\n")
+                    assert r.kept == "\n".join(x for x in own if lines.key_hash(x.encode()) not in often)
+
+
+def test_full_filters_are_built_anew(spark):
+    some = documents(spark, ["a\nb"] * 2)
+    many = documents(spark, ["\n".join(f"line {k}" for k in range(500))] * 2)
+    index = lines.LineIndex.build(some, 2).insert(many)
+    assert builtins_sum(np.count_nonzero(np.frombuffer(bytes(r.table), np.uint16)) for r in index.filters.collect()) == 502
+    assert all(r.n_dropped == r.n_lines for r in index.apply(many.union(some)).collect())
+    assert index.delete(many).apply(many).agg({"n_dropped": "sum"}).first()[0] == 0
+
+
+def test_keys_that_a_filter_has_by_mistake_stay(spark):
+    """Lines that share the fingerprint and the buckets of a frequent one: the exceptions keep them."""
+    index = lines.LineIndex.build(documents(spark, ["often"] * 3), 3)
+    texts = [f"line {k}" for k in range(300_000)]
+    docs = documents(spark, ["\n".join(texts[k : k + 1000]) for k in range(0, len(texts), 1000)])
+    table = [(r.shard, bytes(r.table)) for r in index.filters.collect()]
+    assert lines._Lookup(1, table, b"")([lines.key_hash(t.encode()) for t in texts])
+    assert index.apply(docs).agg({"n_dropped": "sum"}).first()[0] == 0
 
 
 def test_lines_are_reversible(spark, texts):
