@@ -124,8 +124,10 @@ def _above(counters: list[int], radius: int) -> int:
 def _near(fps: np.ndarray, ids: np.ndarray, sizes: np.ndarray, radius: int, label: np.ndarray):
     """(places i, shift) such that i and i + shift are in one bucket, within the radius, and of different labels; rows are
     in order of falling bucket size. Labels may be changed between steps."""
+    if not len(fps):
+        return
     planes = Planes(fps)
-    for shift in range(1, int(sizes[0]) if len(fps) else 0):
+    for shift in range(1, int(sizes[0])):
         prefix = int(np.searchsorted(-sizes, -shift, side="left"))  # the rows in buckets of more than `shift`
         # lanes of a bucket, and of those only pairs that are not linked yet
         asked = (ids[: prefix - shift] == ids[shift:prefix]) & (label[: prefix - shift] != label[shift:prefix])
