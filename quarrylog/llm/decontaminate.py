@@ -2,16 +2,18 @@
 
 The words of the items are the automaton's alphabet. A document's words are streamed through it; at each word the
 automaton holds the longest suffix read so far that occurs in any item. A match of at least `window` words, or of a
-whole shorter item, marks its words as hit. Only the items are broadcast, in blocks of bounded size: documents are
-neither shuffled nor compared in pairs.
+whole shorter item, marks its words as hit. Only the automaton is broadcast, for blocks of items of bounded size: documents are
+neither shuffled nor compared in pairs. It is made once, in arrays, and a worker process holds it once.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,37 +31,57 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 class SuffixAutomaton:
     """Of many word sequences. A state stands for substrings that end at the same places; link leads to the longest
-    suffix in another state."""
+    suffix in another state.
 
-    def __init__(self) -> None:
-        self.next: list[dict[int, int]] = [{}]
-        self.link, self.length = [-1], [0]
+    Most states are followed by one word only, so that word and where it leads are in arrays; `more` has the other
+    words of those that have several. That takes some 30 bytes a word of the sequences, and a state or two.
+    """
 
-    def _state(self, length: int, link: int, following: dict[int, int]) -> int:
-        self.next.append(following)
+    def __init__(self) -> None:
+        self.word, self.to = array("i", [-1]), array("i", [0])
+        self.link, self.length = array("i", [-1]), array("i", [0])
+        self.more: dict[int, dict[int, int]] = {}
+
+    def following(self, state: int, word: int) -> int:
+        """Where the word leads from a state; -1 if it never follows."""
+        if self.word[state] == word:
+            return self.to[state]
+        return self.more[state].get(word, -1) if state in self.more else -1
+
+    def _follow(self, state: int, word: int, to: int) -> None:
+        if self.word[state] in (-1, word):
+            self.word[state], self.to[state] = word, to
+        else:
+            self.more.setdefault(state, {})[word] = to
+
+    def _state(self, length: int, link: int, like: int = -1) -> int:
+        new = len(self.link)
+        self.word.append(self.word[like] if like >= 0 else -1)
+        self.to.append(self.to[like] if like >= 0 else 0)
+        if like in self.more:
+            self.more[new] = dict(self.more[like])
         self.length.append(length)
         self.link.append(link)
-        return len(self.link) - 1
+        return new
 
     def _split(self, p: int, word: int, q: int) -> int:
         """The part of q that is reached from p gets a state of its own."""
-        part = self._state(self.length[p] + 1, self.link[q], dict(self.next[q]))
+        part = self._state(self.length[p] + 1, self.link[q], q)
         self.link[q] = part
-        while p >= 0 and self.next[p].get(word) == q:
-            self.next[p][word] = part
+        while p >= 0 and self.following(p, word) == q:
+            self._follow(p, word, part)
             p = self.link[p]
         return part
 
     def _extend(self, last: int, word: int) -> int:
-        q = self.next[last].get(word)
-        if q is not None:
+        q = self.following(last, word)
+        if q >= 0:
             return q if self.length[q] == self.length[last] + 1 else self._split(last, word, q)
-        new, p = self._state(self.length[last] + 1, 0, {}), last
-        while p >= 0 and word not in self.next[p]:
-            self.next[p][word] = new
+        new, p = self._state(self.length[last] + 1, 0), last
+        while p >= 0 and (q := self.following(p, word)) < 0:
+            self._follow(p, word, new)
             p = self.link[p]
         if p >= 0:
-            q = self.next[p][word]
             self.link[new] = q if self.length[q] == self.length[p] + 1 else self._split(p, word, q)
         return new
 
@@ -70,8 +92,7 @@ class SuffixAutomaton:
 
     def step(self, state: int, length: int, word: int) -> tuple[int, int]:
         """The longest suffix that occurs after one more word, as state and length."""
-        following = self.next
-        while (to := following[state].get(word)) is None:
+        while (to := self.following(state, word)) < 0:
             if not state:
                 return 0, 0
             state = self.link[state]
@@ -80,53 +101,66 @@ class SuffixAutomaton:
 
 
 class ItemMatcher:
-    """The automaton of one block of items, and which items and how many words a match at each state stands for."""
+    """The automaton of one block of items, and which items and how many words a match at each state stands for.
 
-    NEVER = 1 << 60
+    A mark of a state is (words, item): the item's window of exactly so many words, or the whole shorter item, is the substring
+    of that length in the state. Marks are in arrays, those of a state one after another."""
+
+    NEVER = (1 << 31) - 1
 
     def __init__(self, items: list[tuple[object, bytes | None]], window: int):
-        self.window, self.ids = window, {}
+        self.window, self.ids, self.names = window, {}, []
         self.auto = auto = SuffixAutomaton()
-        coded = []
+        texts, starts = array("i"), array("q", [0])
         for item, text in items:
             if words := words_of(text):
-                coded.append((item, [self.ids.setdefault(w, len(self.ids)) for w in words]))
-        for _, words in coded:
-            auto.add(words)
-        states = len(auto.link)
-        #: Items whose window of exactly `window` words, or which as a whole, are the substring of that length in a state.
-        self.long: list[set | None] = [None] * states
-        self.short: list[dict[int, set] | None] = [None] * states
-        for item, words in coded:
+                texts.extend(self.ids.setdefault(w, len(self.ids)) for w in words)
+                starts.append(len(texts))
+                self.names.append(item)
+        for a, b in zip(starts, starts[1:], strict=False):
+            auto.add(texts[a:b])
+        states, sizes, owners = array("i"), array("i"), array("i")
+        for n, (a, b) in enumerate(zip(starts, starts[1:], strict=False)):
             state = length = 0
-            for w in words:
+            for w in texts[a:b]:
                 state, length = auto.step(state, length, w)
                 while auto.length[auto.link[state]] >= window:
                     state = auto.link[state]
                     length = auto.length[state]
                 if length >= window:
-                    self.long[state] = self.long[state] or set()
-                    self.long[state].add(item)
-            if len(words) < window:
-                self.short[state] = self.short[state] or {}
-                self.short[state].setdefault(len(words), set()).add(item)
+                    states.append(state)
+                    sizes.append(window)
+                    owners.append(n)
+            if b - a < window:
+                states.append(state)
+                sizes.append(b - a)
+                owners.append(n)
+        marks = np.array([states, sizes, owners], np.int32).T
+        marks = np.unique(marks, axis=0) if len(marks) else marks
+        count = len(auto.link)
+        first = np.searchsorted(marks[:, 0], np.arange(count + 1))
+        self.first, self.sizes, self.owners = array("i", first.astype(np.int32).tobytes()), array("i", marks[:, 1].tobytes()), array("i", marks[:, 2].tobytes())
+        least = np.full(count, self.NEVER, np.int32)
+        np.minimum.at(least, marks[:, 0], marks[:, 1])
+        own = (np.diff(first) > 0).tolist()
         #: The shortest match length at a state from which a window ends there, and the nearest suffix state with marks.
-        self.least, self.marked = [self.NEVER] * states, [-1] * states
-        for s in sorted(range(states), key=auto.length.__getitem__):
+        self.least, self.marked = array("i", least.tobytes()), array("i", [-1]) * count
+        for s in np.argsort(np.frombuffer(auto.length, np.int32), kind="stable").tolist():
             up = auto.link[s]
             if up >= 0:
-                self.least[s], self.marked[s] = self.least[up], self.marked[up]
-            if self.short[s]:
-                self.least[s] = min(self.least[s], *self.short[s])
-            if self.long[s]:
-                self.least[s] = min(self.least[s], window)
-            if self.short[s] or self.long[s]:
+                self.least[s], self.marked[s] = min(self.least[s], self.least[up]), self.marked[up]
+            if own[s]:
                 self.marked[s] = s
 
+    def nbytes(self) -> int:
+        """Of the arrays, and of the words and the branches about as much as dictionaries take."""
+        arrays = (self.auto.word, self.auto.to, self.auto.link, self.auto.length, self.first, self.sizes, self.owners, self.least, self.marked)
+        return sum(len(x) * x.itemsize for x in arrays) + 120 * len(self.ids) + sum(240 + 100 * len(x) for x in self.auto.more.values())
+
     def matches(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set]:
         """(the runs of hit words as sorted, disjoint [start, end), the items with occurring windows)."""
-        auto, least, following = self.auto, self.least, self.auto.next
-        link, lengths = auto.link, auto.length
+        auto, least = self.auto, self.least
+        one, to_, more, link, lengths = auto.word, auto.to, auto.more, auto.link, auto.length
         found: list[tuple[int, int]] = []
         items: set = set()
         state = length = 0
@@ -134,42 +168,48 @@ class ItemMatcher:
             if w is None:
                 state = length = 0
                 continue
-            while (to := following[state].get(w)) is None:
-                if not state:
+            while True:
+                if one[state] == w:
+                    to = to_[state]
+                    break
+                to = more[state].get(w, -1) if state in more else -1
+                if to >= 0 or not state:
                     break
                 state = link[state]
                 length = lengths[state]
-            if to is None:
+            if to < 0:
                 length = 0
                 continue
             state, length = to, length + 1
             if length >= least[state]:
                 widest, s = 0, self.marked[state]
                 while s >= 0:
-                    if self.long[s] and length >= self.window:
-                        widest = max(widest, self.window)
-                        items |= self.long[s]
-                    for n, short in (self.short[s] or {}).items():
-                        if n <= length:
-                            widest = max(widest, n)
-                            items |= short
+                    for k in range(self.first[s], self.first[s + 1]):
+                        if self.sizes[k] <= length:
+                            widest = max(widest, self.sizes[k])
+                            items.add(self.owners[k])
                     s = self.marked[link[s]] if s else -1
                 if widest:
                     start = at + 1 - widest
                     while found and found[-1][1] >= start:
                         start = min(start, found.pop()[0])
                     found.append((start, at + 1))
-        return found, items
+        return found, {self.names[n] for n in items}
+
+
+def item_blocks(benchmark: DataFrame, block_bytes: int) -> list[DataFrame]:
+    """The distinct items (id, text) in parts of about block_bytes of text each; one part, if it is no larger, as test sets are."""
+    items = benchmark.dropDuplicates(["id", "text"])
+    n = max(1, -(-(items.select(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes))
+    return [items if n == 1 else items.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k) for k in range(n)]
 
 
-def item_blocks(benchmark: DataFrame, block_bytes: int, id_col: str, text_col: str) -> list[DataFrame]:
-    """benchmark in parts of about block_bytes of text each; one part, if it is no larger, as test sets are."""
-    size = benchmark.select(F.sum(F.octet_length(text_col))).first()[0] or 0
-    n = max(1, -(-size // block_bytes))
-    return [benchmark if n == 1 else benchmark.where(F.pmod(F.xxhash64(id_col, text_col), F.lit(n)) == k) for k in range(n)]
+def _matcher(part: DataFrame, window: int):
+    """The broadcast automaton of a block of items: it is made here, of at most a block's bytes."""
+    return part.sparkSession.sparkContext.broadcast(ItemMatcher([tuple(r) for r in part.collect()], window))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, coverage: float = 0.05, block_bytes: int = 32 << 20, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, coverage: float = 0.05, block_bytes: int = 4 << 20, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans (array of [start, end) word positions).
 
     n_hit counts words inside any occurrence of a window (`window` consecutive words of an item, or a whole shorter
@@ -183,19 +223,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, cover
     spark = docs.sparkSession
     bounded_batches(spark)
     items = benchmark.select(F.col(item_id).cast("string").alias("id"), F.col(item_text).cast("string").cast("binary").alias("text"))
-    blocks = item_blocks(items, block_bytes, "id", "text")
+    blocks = item_blocks(items, block_bytes)
     body = texts(docs, doc_id, doc_text).withColumnsRenamed({doc_id: "doc_id", doc_text: "text"})
     numerator, denominator = coverage.as_integer_ratio() if coverage != 0.05 else (1, 20)
     kinds = {"doc_id": "long", "n_words": "long", "n_hit": "long", "n_items": "long", "items_sha256": "string", "contaminated": "boolean", "spans": "array<struct<start:int,end:int>>"}
     if len(blocks) == 1:
-        shared = spark.sparkContext.broadcast([tuple(r) for r in items.collect()])
-        out = body.mapInArrow(_streamed(shared, window, numerator, denominator), schema(**kinds))
+        shared = _matcher(blocks[0], window)
+        out = body.mapInArrow(_streamed(shared, numerator, denominator), schema(**kinds))
     else:
-        body = body.withColumn("row", F.monotonically_increasing_id())  # repeated rows stay apart; ids hold as scans repeat
+        scratch = Scratch(spark)  # rows are numbered and written, so that numbers hold in every pass
+        body = scratch.write(body.withColumn("row", F.monotonically_increasing_id()), "rows")
         parts = []
         for part in blocks:
-            shared = spark.sparkContext.broadcast([tuple(r) for r in part.collect()])
-            parts.append(body.mapInArrow(_found(shared, window), schema(row="long", doc_id="long", n_words="long", ids="array<string>", spans=kinds["spans"])))
+            shared = _matcher(part, window)
+            parts.append(body.mapInArrow(_found(shared), schema(row="long", doc_id="long", n_words="long", ids="array<string>", spans=kinds["spans"])))
         every = parts[0]
         for part in parts[1:]:
             every = every.unionAll(part)
@@ -219,9 +260,9 @@ def _rows(found: list[tuple]) -> pa.RecordBatch:
     return batch_of({"doc_id": (doc, pa.int64()), "n_words": (n, pa.int64()), "n_hit": (hit, pa.int64()), "n_items": (items, pa.int64()), "items_sha256": (sha, pa.string()), "contaminated": (bad, pa.bool_()), "spans": ([[{"start": a, "end": b} for a, b in x] for x in spans], _SPANS)})
 
 
-def _streamed(shared, window: int, numerator: int, denominator: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _streamed(shared, numerator: int, denominator: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches):
-        matcher = ItemMatcher(shared.value, window)
+        matcher = shared.value
         for batch in batches:
             found = []
             for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
@@ -233,9 +274,9 @@ def _streamed(shared, window: int, numerator: int, denominator: int) -> Callable
     return run
 
 
-def _found(shared, window: int):
+def _found(shared):
     def run(batches):
-        matcher = ItemMatcher(shared.value, window)
+        matcher = shared.value
         for batch in batches:
             out = []
             for row, doc, text in zip(batch["row"].to_pylist(), batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
@@ -260,7 +301,7 @@ def _finished(numerator: int, denominator: int):
     return run
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, coverage: float = 0.05, max_bytes: int = 32 << 20) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, coverage: float = 0.05, max_bytes: int = 4 << 20) -> DataFrame:
     """docs without documents whose hit words reach `coverage`, and without the hit spans of the others.
 
     All columns of docs stay; text loses the bytes from the first to the last character of each hit run, and n_chars,
@@ -270,22 +311,20 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, cover
     spark = docs.sparkSession
     bounded_batches(spark)
     items = benchmark.select(F.col("item_id").cast("string").alias("id"), F.col("text").cast("string").cast("binary").alias("text"))
-    blocks = item_blocks(items, max_bytes, "id", "text")
+    blocks = item_blocks(items, max_bytes)
     numerator, denominator = coverage.as_integer_ratio() if coverage != 0.05 else (1, 20)
     if len(blocks) == 1:
-        shared = spark.sparkContext.broadcast([tuple(r) for r in items.collect()])
-        return docs.mapInArrow(_cut(shared, window, numerator, denominator, docs.columns), docs.schema)
+        return docs.mapInArrow(_cut(_matcher(blocks[0], window), numerator, denominator, docs.columns), docs.schema)
     scratch = Scratch(spark)
     rows = scratch.write(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
     body = rows.select(F.col("__row").alias("row"), F.lit(None).cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
     every = None
     for k, part in enumerate(blocks):
-        shared = spark.sparkContext.broadcast([tuple(r) for r in part.collect()])
-        found = body.mapInArrow(_found(shared, window), schema(row="long", doc_id="long", n_words="long", ids="array<string>", spans="array<struct<start:int,end:int>>"))
+        found = body.mapInArrow(_found(_matcher(part, window)), schema(row="long", doc_id="long", n_words="long", ids="array<string>", spans="array<struct<start:int,end:int>>"))
         found = scratch.write(found.where("size(spans) > 0").select("row", "spans"), f"spans{k}")
         every = found if every is None else every.unionAll(found)
     merged = every.groupBy(F.col("row").alias("__row")).agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("__spans"))
-    return rows.join(merged, "__row", "left").mapInArrow(_cut(None, window, numerator, denominator, docs.columns), docs.schema)
+    return rows.join(merged, "__row", "left").mapInArrow(_cut(None, numerator, denominator, docs.columns), docs.schema)
 
 
 def _merged(spans: list[dict]) -> list[tuple[int, int]]:
@@ -299,7 +338,7 @@ def _merged(spans: list[dict]) -> list[tuple[int, int]]:
     return merged
 
 
-def _cut(shared, window: int, numerator: int, denominator: int, names: list[str]):
+def _cut(shared, numerator: int, denominator: int, names: list[str]):
     """Rows of the columns `names`, judged and cut by the broadcast items, or by the spans that column __spans lists."""
     word = re.compile(rb"[^ ]+")
 
@@ -318,7 +357,7 @@ def _cut(shared, window: int, numerator: int, denominator: int, names: list[str]
         return b"".join([*kept, raw[last:]]).decode()
 
     def run(batches):
-        matcher = ItemMatcher(shared.value, window) if shared else None
+        matcher = shared.value if shared else None
         for batch in batches:
             olds = batch["text"].to_pylist()
             words = [words_of((t or "").encode()) for t in olds]

@@ -6,6 +6,8 @@ Equal words have equal hashes anywhere; words are bytes, so the text needs no de
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 
 _DRAW = np.random.default_rng(20240607)
@@ -51,14 +53,16 @@ DIGIT = np.array([48 <= c <= 57 for c in range(256)])
 LOWERED = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
 
 
+_SPACES = re.compile(rb"[\x20\x09-\x0D]")
+
+
 def parts_of(raw: bytes):
-    """raw in parts of about PART bytes, cut at ASCII white space; a longer run without any is cut anywhere."""
-    while len(raw) > PART:
-        cut = max(raw.rfind(b" ", 0, PART), raw.rfind(b"\n", 0, PART))
-        cut = cut if cut > 0 else PART
-        yield raw[:cut]
-        raw = raw[cut:]
-    yield raw
+    """raw in parts of PART bytes and what is left of the word there: cut at ASCII white space only, so no word is cut."""
+    at = 0
+    while len(raw) - at > PART and (m := _SPACES.search(raw, at + PART)):
+        yield raw[at : m.start()]
+        at = m.start()
+    yield raw[at:] if at else raw
 
 
 def word_hashes(raw: bytes, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
