@@ -104,6 +104,7 @@ def test_simhash(spark, texts):
     got = simhash.near_duplicates(documents(spark, texts)).collect()
     assert {tuple(r) for r in got} == expected and len(got) == len(texts)
     assert simhash.near_duplicates(documents(spark, [])).count() == 0
+    assert not list(simhash.near_pairs(np.zeros((0, 4), np.uint64), np.zeros(0, int), 3, np.zeros(0, int)))
     assert simhash.near_duplicates(documents(spark, ["a b", "a b", None], [5, 5, None])).count() == 3
 
 
@@ -702,26 +703,73 @@ def test_runs_that_go_on_over_batches():
         assert marks(size) == sorted(expected)
 
 
-def test_imatch(spark, texts):
+def plain_fingerprints(texts):
+    """By hand: the words in the band, which subsets have them, and the hash of each subset's terms, with whole numbers only."""
+    full = (1 << 64) - 1
+
+    def word_hash(w):
+        x = builtins_sum(int(hashing.VALUE[c]) * pow(hashing.BASE, k, 1 << 64) for k, c in enumerate(w.lower())) & full
+        return mixed(x)
+
+    def mixed(x):
+        x = (x ^ x >> 32) * 0xD6E8FEB86659FD93 & full
+        x = (x ^ x >> 29) * 0x9E3779B97F4A7C15 & full
+        return x ^ x >> 32
+
+    words = lambda t: {w.lower() for w in re.findall(rb"[0-9A-Za-z\x80-\xff]+", (t or "").encode())}
+    seen = {}
+    for t in texts:
+        for w in words(t):
+            seen[w] = seen.get(w, 0) + 1
+    band = {w for w, n in seen.items() if 2 <= n <= max(2, 0.05 * len(texts))}
+    cache = {}
+
+    def of(text):
+        own = words(text)
+        own = own & band or own
+        out = ""
+        for w in own:
+            cache.setdefault(w, word_hash(w))
+        for j in range(1, imatch.GRADES + 1):
+            for salt in map(int, imatch._SALTS):
+                inside = [cache[w] for w in own if mixed(cache[w] * salt & full) < 1 << 64 - j]
+                total = builtins_sum(mixed(h + 1 & full) for h in inside) & full
+                out += f"{mixed(total + 7 & full) % 65535 + 1 if total else 0:04x}"
+        return out
+
+    return of
+
+
+@pytest.mark.parametrize("most", [10**6, 0])
+def test_imatch(spark, texts, most):
     ids = [7 * k - 50 for k in range(len(texts))]
     rows = list(zip(ids, texts, strict=True))
     random.Random(1).shuffle(rows)
-    got = {r.doc_id: r for r in imatch.imatch(documents(spark, [t for _, t in rows], [d for d, _ in rows])).collect()}
+    docs = documents(spark, [t for _, t in rows], [d for d, _ in rows]).selectExpr("*", "1 AS bucket", "2 AS extra", "'x' AS fingerprint")
+    got = {r.doc_id: r for r in imatch.imatch(docs, most=most).collect()}
     assert len(got) == len(rows)
+    of = plain_fingerprints(texts)
     for k, d in enumerate(ids):
         text, following = texts[k] or "", texts[(k + 1) % len(texts)] or ""
         n = len(text)
         edited = text[: n - n // 2] + following[: n // 2]
         assert got[d].n_chars == n and got[d].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
-        assert got[d].near_next == imatch.likeness(got[d].fingerprint, got[ids[(k + 1) % len(ids)]].fingerprint)
+        assert (got[d].fingerprint, got[d].edited_fingerprint) == (of(text), of(edited))
+        assert got[d].near_edited == imatch.likeness(of(text), of(edited)) and got[d].near_next == imatch.likeness(of(text), of(following))
         assert 0 <= got[d].near_edited <= 1
         if edited == text:
             assert got[d].fingerprint == got[d].edited_fingerprint and got[d].near_edited == 1
     assert got[ids[10]].fingerprint == got[ids[texts.index(texts[10], 11)]].fingerprint
     assert imatch.imatch(documents(spark, [])).count() == 0
-    (one,) = imatch.imatch(documents(spark, ["abc def"])).collect()
-    assert one.near_next == 1
-    assert imatch.imatch(documents(spark, ["a", "b", None, "c"], [1, 1, None, None])).count() == 4
+    odd = imatch.imatch(documents(spark, ["a b", "a b c", None, "d", "d"], [None, 2**60 + 1, 2**60 + 2, 5, 5])).collect()
+    assert sorted((r.doc_id is None, r.doc_id, r.n_chars) for r in odd if r.doc_id) == [(False, 5, 1), (False, 5, 1), (False, 2**60 + 1, 5), (False, 2**60 + 2, 0)]
+
+
+def test_edited_texts_are_told_from_next_ones(spark):
+    rows = imatch.imatch(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()
+    edited, others = np.array([r.near_edited for r in rows]), np.sort([r.near_next for r in rows])
+    above = (np.searchsorted(others, edited, "left") + np.searchsorted(others, edited, "right")).mean() / 2 / len(rows)
+    assert above > 0.985
 
 
 def test_warc_audit(spark, tmp_path):
