@@ -110,12 +110,13 @@ def train_sparse(rows: list[tuple[np.ndarray, np.ndarray, int]], bits: int = 18,
 
 def training_rows(docs: DataFrame, labels: DataFrame, bound: int = 5000, label: str = "quality") -> DataFrame:
     """(doc_id, text, label) of at most `bound` labelled documents with crc32(doc_id as text) mod 4 other than 2, chosen by a hash of
-    doc_id, a sample without regard to order or place. Rows without a label, or with null doc_id or label, are left out."""
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where("doc_id is not null and label is not null").dropDuplicates(["doc_id"])
+    doc_id, a sample without regard to order or place. Rows without a label, or with null doc_id or label, are left out. Of several labels
+    of a doc_id the least counts, and of several texts the first in order."""
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.min("label").alias("label"))
     known = known.where(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) != 2)
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
     body = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return body.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    return body.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, bound: int = 5000, **more) -> tuple[np.ndarray, float, float]:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
-#: Records of a file: a span of page_ids; children of a node. Levels: leaves (0), nodes of 16, of 256 (the root of a full file).
+#: Records of a file: a span of page_ids, a power of two; children of a node. Levels: leaves (0), nodes of 16, of 256 (the root of a full file).
 PAGES_PER_FILE, FANOUT = 256, 16
 
 
@@ -33,7 +33,7 @@ def record(url: Column, page_id: Column, html: Column) -> Column:
 def records(pages: DataFrame) -> DataFrame:
     """(file, page_id, record): file is page_id div 256; pages without page_id are dealt to files of negative numbers by content."""
     page, url, html = F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")
-    file = F.coalesce(F.floor(page / PAGES_PER_FILE), -(1 << 62) + F.pmod(F.xxhash64(url, html), F.lit(1 << 40)))
+    file = F.coalesce(F.shiftright(page, PAGES_PER_FILE.bit_length() - 1), -(1 << 62) + F.pmod(F.xxhash64(url, html), F.lit(1 << 40)))
     return pages.select(file.alias("file"), page.alias("page_id"), record(url, page, html).alias("record"))
 
 
@@ -41,10 +41,23 @@ def manifest(recs: DataFrame) -> DataFrame:
     """(file, page_id, place, offset, length, digest, leaf) of every record. Only digests and lengths are shuffled.
 
     A file's records are in the order of page_id, repeated ones in that of their digests, and offset is where a record starts.
+    Equal records are counted before they are placed, and those of a page_id are placed within parts, by the first two signs of their
+    digests, so no task orders all records of a file in which a page_id, or a null one, stands for very many.
     """
     own = recs.select("file", "page_id", F.octet_length("record").cast("long").alias("length"), F.sha2("record", 256).alias("digest"))
-    order = Window.partitionBy("file").orderBy("page_id", "digest")
-    placed = own.withColumn("place", F.row_number().over(order) - 1).withColumn("offset", F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("length"))
+    alike = own.groupBy("file", "page_id", "digest", "length").agg(F.count(F.lit(1)).alias("n")).withColumn("part", F.concat(F.coalesce(F.col("page_id").cast("string"), F.lit("-")), F.lit(" "), F.substring("digest", 1, 2)))
+
+    def before(window, n, size):
+        up_to = window.rowsBetween(Window.unboundedPreceding, 0)
+        return F.sum(n).over(up_to) - F.col(n), F.sum(size).over(up_to) - F.col(size)
+
+    parts = alike.groupBy("file", "page_id", "part").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("length")).alias("size"))
+    place, offset = before(Window.partitionBy("file").orderBy("page_id", "part"), "n", "size")
+    parts = parts.select("file", "part", place.alias("part_place"), offset.alias("part_offset"))
+    place, offset = before(Window.partitionBy("file", "part").orderBy("digest"), "n", "size")
+    inside = alike.withColumn("size", F.col("n") * F.col("length")).withColumns({"place": place, "offset": offset}).join(parts, ["file", "part"])
+    copies = inside.withColumn("copy", F.explode(F.expr("sequence(0L, n - 1)")))
+    placed = copies.withColumns({"place": F.col("part_place") + F.col("place") + F.col("copy"), "offset": F.col("part_offset") + F.col("offset") + F.col("copy") * F.col("length")})
     leaf = F.sha2(F.concat_ws("|", "digest", F.col("offset").cast("string"), F.col("length").cast("string")), 256)
     return placed.select("file", "page_id", "place", "offset", "length", "digest", leaf.alias("leaf"))
 
