@@ -792,6 +792,94 @@ def test_warc_audit(spark, tmp_path):
     assert levels[-1].first().hash == warc.root_of([r.leaf for r in m])
 
 
+def test_records_are_placed_in_order(spark):
+    """Against plain sorting: null, negative, huge and repeated page_ids, equal and different records."""
+    draw = random.Random(3)
+    rows = [(draw.choice([None, -5, 7, 8, 300, 2**60 + 1, 2**60 + 2]), draw.choice("ab"), "x" * draw.randint(0, 3)) for _ in range(200)]
+    recs = warc.records(spark.createDataFrame(rows, "page_id bigint, url string, html string"))
+    files = {}
+    for r in recs.collect():
+        assert r.page_id is None or r.file == r.page_id // 256
+        files.setdefault(r.file, []).append((r.page_id is not None, r.page_id or 0, hashlib.sha256(r.record).hexdigest(), len(r.record)))
+    expected = set()
+    for file, own in files.items():
+        at = 0
+        for place, (known, page, digest, length) in enumerate(sorted(own)):
+            expected.add((file, page if known else None, place, at, length, digest))
+            at += length
+    got = warc.manifest(recs).drop("leaf").collect()
+    assert {tuple(r) for r in got} == expected and len(got) == 200
+
+
+def plain_score(model, text):
+    """The logistic of the dot product, feature by feature, with whole numbers of Python."""
+    weights, bias, scale = model
+    raw, bits = (text or "").encode(), int(np.log2(len(weights)))
+    kind = lambda c: 1 if c >= 128 or chr(c).isalnum() else 0 if c <= 32 or c == 127 else 2
+    words, at = [], 0
+    while at < len(raw):
+        end = at + 1
+        while end < len(raw) and kind(raw[end]) == kind(raw[at]):
+            end += 1
+        words += [raw[at:end]] if kind(raw[at]) else []
+        at = end
+    if not words:
+        shares = {0: 1.0}
+    else:
+        full = (1 << 32) - 1
+
+        def coded(w):
+            x = builtins_sum(int(hashing.VALUE[c]) * pow(hashing.BASE, k, 1 << 64) for k, c in enumerate(w.lower() if kind(w[0]) == 1 else w)) % (1 << 64)
+            return int(hashing.scrambled(np.array([x], np.uint64))[0]) >> 32
+
+        def shape(w):
+            if kind(w[0]) == 2:
+                return 4096 + w[0] * 8 + min(len(w), 4)
+            upper, digits = builtins_sum(65 <= c <= 90 for c in w), builtins_sum(48 <= c <= 57 for c in w)
+            case = 1 if digits == len(w) else 2 if not upper else 3 if upper == len(w) > 1 else 4 if upper == 1 and 65 <= w[0] <= 90 else 5
+            return case * 16 + min(len(w) // 4, 7)
+
+        a, b, c = map(int, quality._MIX)
+        word, form = [coded(w) for w in words], [shape(w) for w in words]
+        kinds = [[x * a for x in word], [x * b for x in form]]
+        for x in (word, form):
+            pairs = [(u * b + v * c) & full for u, v in zip(x, x[1:], strict=False)]
+            kinds.append([p ^ p >> 15 for p in pairs])
+        triples = [((u * b + v) * c + w) & full for u, v, w in zip(form, form[1:], form[2:], strict=False)]
+        kinds.append([t ^ t >> 13 for t in triples])
+        shares = {}
+        for own in filter(None, kinds):
+            for x in own:
+                place = (x * a & full) >> 32 - bits
+                shares[place] = shares.get(place, 0) + 1 / len(own)
+    z = scale * builtins_sum(float(weights[p]) * v for p, v in shares.items()) + bias
+    return 1 / (1 + np.exp(-z))
+
+
+def test_scores_by_hand(spark, texts):
+    labelled = [("Plain words in a sentence, " + str(k), 1) if k % 2 else ("BUY $$$ NOW!!! " * 5, 0) for k in range(60)]
+    model = quality.train(labelled)
+    rows = [*texts, "A1b2 CAPS, x-y?! \x7f\t\x00 é"]
+    for r in quality.score(documents(spark, rows), model).collect():
+        assert r.score == pytest.approx(plain_score(model, rows[r.doc_id]), abs=1e-5)
+    dear = spark.createDataFrame([(k, "en", "x", t, k) for k, t in enumerate(rows)], "doc_id bigint, lang string, label string, text string, score int")
+    assert quality.score(dear, model).count() == len(rows) and quality.score(dear.limit(0), model).count() == 0
+
+
+def test_held_out_documents_are_told(spark):
+    from quarrylog.llm import queries
+
+    labels = {r.doc_id: r.quality for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
+    held = [(r.predicted, labels[r.doc_id]) for r in queries.op10_quality(spark, "/root/testdata/sf0.01").collect() if r.held_out and r.doc_id in labels]
+    assert len(held) > 50 and builtins_sum(a == b for a, b in held) >= 0.95 * len(held)
+
+
+def test_ties_among_labels_and_texts(spark):
+    docs = documents(spark, ["b", "a", "c"], [1, 1, 3])
+    labels = spark.createDataFrame([(1, 1), (1, 0), (3, 1), (3, 1)], "doc_id bigint, quality int")
+    assert sorted(map(tuple, quality.training_rows(docs, labels).select("doc_id", "text", "label").collect())) == [(1, "a", 0), (3, "c", 1)]
+
+
 def test_quality():
     draw = random.Random(6)
     word = lambda: "".join(draw.choices("abcdefghij", k=draw.randint(2, 9)))
