@@ -29,6 +29,7 @@ SUPPLIES = Relation("Supplies", 2)  # supplier, part
 PRICE = Relation("Price", 2, (int, float))  # order, total price
 TRADE = Relation("Trade", 2)  # seller's nation, buyer's nation, of more lines than the average pair
 NEXT = Relation("Next", 2)  # an order and the customer's next one
+HUB = Relation("Hub", 2)  # customers in a row, and seven hubs that all of them are tied to
 EVENT = Relation("Event", 2, (int, str))  # user, event type
 
 _FACTS: dict[str, tuple[Relation, str, tuple[str, ...]]] = {
@@ -64,6 +65,13 @@ def chains(spark: SparkSession, sf: str) -> DataFrame:
     return _table(spark, sf, "orders").select(F.col("o_orderkey").alias("a"), F.lead("o_orderkey").over(order).alias("b")).where("b is not null")
 
 
+def hubs(spark: SparkSession, sf: str) -> DataFrame:
+    """(a, b): each customer and the next one, and, both ways, each customer and one of seven hubs."""
+    c, own = _table(spark, sf, "customer").select("c_custkey"), F.col("c_custkey")
+    pairs = F.array(F.struct(own.alias("a"), (own + 1).alias("b")), F.struct(own.alias("a"), (own % 7).alias("b")), F.struct((own % 7).alias("a"), own.alias("b")))
+    return c.select(F.explode(pairs).alias("e")).select("e.a", "e.b")
+
+
 def engine(spark: SparkSession, sf: str, program: Program) -> Engine:
     """An engine with the facts that the program mentions."""
     out = Engine(spark)
@@ -73,6 +81,8 @@ def engine(spark: SparkSession, sf: str, program: Program) -> Engine:
             out.bind(relation, _table(spark, sf, table), *columns)
         elif rel.name == "Trade":
             out.bind(TRADE, trade(spark, sf))
+        elif rel.name == "Hub":
+            out.bind(HUB, hubs(spark, sf))
         elif rel.name == "Next":
             out.bind(NEXT, chains(spark, sf))
     return out
@@ -89,6 +99,9 @@ nexts AS (SELECT a, b FROM links WHERE b IS NOT NULL),
 """
 
 
+_HUB = "hub AS (SELECT c_custkey AS a, c_custkey + 1 AS b FROM customer UNION SELECT c_custkey, c_custkey % 7 FROM customer UNION SELECT c_custkey % 7, c_custkey FROM customer)"
+
+
 def query(name: str, rules: list, head: Relation, columns: str, sql: str | None, **options) -> None:
     """Registers the relation that rules derive, under these column names."""
     program = Program(rules)
@@ -144,10 +157,14 @@ query("theta_filter", [R2(x, y) <= TRADE(x, z) & TRADE(z, y) & Filter(("x", "y")
 query("cross_product", [R2(x, r) <= NATION(x, _) & NATION(_, r)], R2, "nation region", "SELECT DISTINCT CAST(l.n_nationkey AS BIGINT) AS nation, CAST(r.n_regionkey AS BIGINT) AS region FROM nation l, nation r")
 query("triangle", [R3(x, y, z) <= TRADE(x, y) & TRADE(y, z) & TRADE(z, x)], R3, "a b c", "SELECT DISTINCT CAST(l.a AS BIGINT) AS a, CAST(m.a AS BIGINT) AS b, CAST(r.a AS BIGINT) AS c FROM trade l JOIN trade m ON l.b = m.a JOIN trade r ON m.b = r.a AND r.b = l.a")
 query("labeled_triangle", [R3(x, y, z) <= TRADE(x, y) & TRADE(y, z) & TRADE(z, x) & NATION(x, r) & NATION(y, r) & NATION(z, r)], R3, "a b c", "SELECT DISTINCT CAST(l.a AS BIGINT) AS a, CAST(m.a AS BIGINT) AS b, CAST(r.a AS BIGINT) AS c FROM trade l JOIN trade m ON l.b = m.a JOIN trade r ON m.b = r.a AND r.b = l.a JOIN nation x ON x.n_nationkey = l.a JOIN nation y ON y.n_nationkey = m.a JOIN nation z ON z.n_nationkey = r.a WHERE x.n_regionkey = y.n_regionkey AND y.n_regionkey = z.n_regionkey")
+query("triangle_skewed", [R3(x, y, z) <= HUB(x, y) & HUB(y, z) & HUB(z, x)], R3, "a b c", f"WITH {_HUB} SELECT DISTINCT l.a, m.a AS b, r.a AS c FROM hub l JOIN hub m ON l.b = m.a JOIN hub r ON m.b = r.a AND r.b = l.a")
+query("diamond_skewed", [R2(x, w) <= HUB(x, y) & HUB(x, z) & HUB(y, z) & HUB(y, w) & HUB(z, w) & Filter(("x", "w"), "x < w")], R2, "a b", f"WITH {_HUB} SELECT DISTINCT p.a, s.b FROM hub p JOIN hub q ON p.a = q.a JOIN hub r ON r.a = p.b AND r.b = q.b JOIN hub s ON s.a = p.b JOIN hub t ON t.a = q.b AND t.b = s.b WHERE p.a < s.b")
 query("two_hop", [R3(x, y, z) <= NEXT(x, y) & NEXT(y, z) & Filter(("x", "z"), "x != z")], R3, "a b c", "SELECT DISTINCT l.a, l.b, r.b AS c FROM nexts l JOIN nexts r ON l.b = r.a WHERE l.a <> r.b")
 query("semi_join", [R1(x) <= CUSTOMER(x, _, _) & ORDERS(_, x, _)], R1, "cust", "SELECT c_custkey AS cust FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
 query("anti_join", [R2(x, y) <= TRADE(x, y) & ~TRADE(y, x)], R2, "a b", "SELECT CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b FROM trade t WHERE NOT EXISTS (SELECT 1 FROM trade u WHERE u.a = t.b AND u.b = t.a)")
 query("anti_wildcard", [R1(x) <= PART(x, _, _) & ~LINE(_, x, _, _)], R1, "part", "SELECT p_partkey AS part FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey)")
+query("anti_wildcard_some", [R2(x, y) <= SUPPLIER(x, _) & PART(y, _, Const(1)) & ~LINE(_, y, x, _)], R2, "supp part", "SELECT s_suppkey AS supp, p_partkey AS part FROM supplier, part WHERE p_size = 1 AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_suppkey = s_suppkey)")
+query("anti_ground_both", [R2(x, Const(0)) <= NATION(x, _) & ~NATION(Const(0), Const(99)), R2(x, Const(1)) <= NATION(x, _) & ~NATION(Const(3), Const(1)), R2(x, Const(2)) <= NATION(x, _) & ~NATION(Const(3), Const(3))], R2, "nation rule", "SELECT CAST(n_nationkey AS BIGINT) AS nation, CAST(rule AS BIGINT) AS rule FROM nation, (VALUES (0, 0, 99), (1, 3, 1), (2, 3, 3)) AS f(rule, a, b) WHERE NOT EXISTS (SELECT 1 FROM nation m WHERE m.n_nationkey = f.a AND m.n_regionkey = f.b)")
 query("anti_const", [R1(c) <= CUSTOMER(c, _, _) & ~ORDERS(_, c, Const("P"))], R1, "cust", "SELECT c_custkey AS cust FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
 query("anti_ground", [R1(x) <= NATION(x, _) & ~NATION(Const(0), Const(99))], R1, "nation", "SELECT CAST(n_nationkey AS BIGINT) AS nation FROM nation WHERE NOT EXISTS (SELECT 1 FROM nation WHERE n_nationkey = 0 AND n_regionkey = 99)")
 query("anti_multi", [R1(x) <= NATION(x, r) & ~TRADE(x, x) & ~SUPPLIER(x, r)], R1, "nation", "SELECT CAST(n_nationkey AS BIGINT) AS nation FROM nation WHERE NOT EXISTS (SELECT 1 FROM trade WHERE a = n_nationkey AND b = n_nationkey) AND NOT EXISTS (SELECT 1 FROM supplier WHERE s_suppkey = n_nationkey AND s_nationkey = n_regionkey)")
@@ -175,6 +192,7 @@ query("agg_custom", [R2(u, t) <= SUPPLIER(u, _) & Agg("t", "agg", SUPPLIES(u, p)
 R4 = _rel("Out", 4)
 counted("count_only_2hop", [(R4(x, y, z, r) <= TRADE(x, y) & TRADE(y, z) & NATION(z, r) & Filter(("x", "z"), "x != z")).named("TwoHop").with_count()], "SELECT 'TwoHop' AS rule, count(*) AS n FROM trade l JOIN trade m ON l.b = m.a JOIN nation ON n_nationkey = m.b WHERE l.a <> m.b")
 counted("count_only_triangle", [(R3(x, y, z) <= TRADE(x, y) & TRADE(y, z) & TRADE(x, z)).named("Triangle").with_count()], "SELECT 'Triangle' AS rule, count(*) AS n FROM trade l JOIN trade m ON l.b = m.a JOIN trade r ON r.a = l.a AND r.b = m.b")
+counted("count_only_star", [(R4(c, o, p, u) <= ORDERS(o, c, _) & LINE(o, p, u, _) & SUPPLIER(u, n) & CUSTOMER(c, n, _)).named("Local").with_count()], "SELECT 'Local' AS rule, count(*) AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey JOIN customer ON c_custkey = o_custkey AND c_nationkey = s_nationkey")
 counted("count_only_neg2hop", [(R3(x, y, z) <= TRADE(x, y) & TRADE(y, z) & ~TRADE(x, z) & Filter(("x", "z"), "x != z")).named("Open").with_count()], "SELECT 'Open' AS rule, count(*) AS n FROM trade l JOIN trade m ON l.b = m.a WHERE l.a <> m.b AND NOT EXISTS (SELECT 1 FROM trade r WHERE r.a = l.a AND r.b = m.b)")
 HAS_ORDER, HAS_SUPPLY = _rel("HasOrder", 1), _rel("HasSupply", 1)
 CASE1, CASE2, CASE3, CASE4 = _rel("Case1", 3), _rel("Case2", 2), _rel("Case3", 2), _rel("Case4", 1)
@@ -268,6 +286,7 @@ query(
 _SPLIT_SQL = "SELECT DISTINCT CAST(s_nationkey AS BIGINT) AS seller, o_custkey AS cust FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey JOIN orders ON o_orderkey = l_orderkey WHERE p_size > 40"
 query("split_rule", [R2(n, c) <= LINE(o, p, u, _) & PART(p, _, z) & Filter(("z",), "z > 40") & SPLIT & SUPPLIER(u, n) & ORDERS(o, c, _)], R2, "seller cust", _SPLIT_SQL)
 query("semi_join_rewrite", [(R2(n, c) <= LINE(o, p, u, _) & PART(p, _, z) & Filter(("z",), "z > 40") & SUPPLIER(u, n) & ORDERS(o, c, _)).with_semi_join()], R2, "seller cust", _SPLIT_SQL)
+query("semi_join_of_three", [(R2(n, c) <= LINE(o, p, u, _) & ORDERS(o, c, Const("F")) & SUPPLIER(u, n) & SUPPLIES(u, p) & PART(p, _, Const(7))).with_semi_join()], R2, "seller cust", "SELECT DISTINCT CAST(s_nationkey AS BIGINT) AS seller, o_custkey AS cust FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey JOIN orders ON o_orderkey = l_orderkey WHERE p_size = 7 AND o_orderstatus = 'F'")
 query("plan_hints", [(R2(n, c) <= LINE(o, p, u, _) & PART(p, _, z) & Filter(("z",), "z > 40") & SUPPLIER(u, n) & ORDERS(o, c, _)).with_plan(clause_order=(1, 0, 3, 4), dedup_hash=True, block_group=True)], R2, "seller cust", _SPLIT_SQL)
 query("var_order_hint", [(R2(n, c) <= LINE(o, p, u, _) & PART(p, _, z) & Filter(("z",), "z > 40") & SUPPLIER(u, n) & ORDERS(o, c, _)).with_plan(var_order=("u", "n", "p"))], R2, "seller cust", _SPLIT_SQL)
 

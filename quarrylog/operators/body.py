@@ -3,6 +3,11 @@
 A relation is a DataFrame of columns c0, c1, ... that holds a set; a relation with annotations has the column __prov too.
 Constants and repeated variables become conditions on the scan, so they are pushed down to the source. After each step only
 the variables that something later needs are kept. An atom that only tests what is bound is a left-semi join.
+
+Cyclic bodies are evaluated variable by variable, not atom by atom: each valuation so far takes the next variable's values from
+that of the atoms which has the fewest for it, and the other atoms test them. So what is made on the way never exceeds what the
+smallest atom allows for each valuation, whatever the skew. Rules that are only counted carry a number of valuations instead of variables
+that nothing later needs.
 """
 
 from __future__ import annotations
@@ -19,6 +24,8 @@ from ..language import Agg, Atom, Const, Filter, Let, Negation, Rule, Split, Var
 from ..plans.ordering import Variant, group_vars, needs
 
 PROV = "__prov"
+#: How many valuations a row stands for, in rules that are only counted.
+NUMBER = "__n"
 
 
 def quoted(name: str) -> Column:
@@ -57,25 +64,48 @@ class Body:
     def __init__(self, relation: Callable[[str, bool], DataFrame], semiring: Semiring | None = None, cut: Callable[[DataFrame], DataFrame] | None = None):
         self.relation, self.semiring, self.cut = relation, semiring, cut or (lambda df: df)
 
-    def _later(self, variant: Variant, at: int) -> set[str]:
-        """The variables that the heads or any clause after place `at` of the order need."""
+    def _later(self, variant: Variant, at: int, done: set[int]) -> set[str]:
+        """The variables that the heads or any clause after place `at` of the order need, but for those evaluated already."""
         rule = variant.rule
-        need = {t.name for h in rule.heads for t in h.terms if isinstance(t, Var)}
+        need = set() if rule.count else {t.name for h in rule.heads for t in h.terms if isinstance(t, Var)}
         for k in variant.order[at + 1 :]:
-            c = rule.body[k]
-            need |= set(c.variables) if isinstance(c, Atom) else needs(rule, c) if not isinstance(c, Split) else set()
+            if k not in done:
+                c = rule.body[k]
+                need |= set(c.variables) if isinstance(c, Atom) else needs(rule, c) if not isinstance(c, Split) else set()
         return need
 
+    def _closing(self, variant: Variant, at: int, bound: set[str], done: set[int]) -> list[int]:
+        """The later atoms, up to a split, that together with the atom at this place bound one fresh variable: a cycle closes."""
+        body = variant.rule.body
+        fresh = [v for v in body[variant.order[at]].variables if v not in bound]
+        if len(fresh) != 1 or len(body[variant.order[at]].variables) < 2:
+            return []
+        found = []
+        for k in variant.order[at + 1 :]:
+            if isinstance(body[k], Split):
+                break
+            own = set(body[k].variables) if isinstance(body[k], Atom) and k not in done else set()
+            if fresh[0] in own and len(own) > 1 and own <= bound | set(fresh):
+                found.append(k)
+        return found
+
     def evaluate(self, variant: Variant) -> DataFrame:
-        """The valuations that satisfy the body. Without annotations and counting, they may be repeated, and only variables of heads stay."""
-        rule = variant.rule
-        exact = rule.count or self.semiring is not None
+        """The valuations that satisfy the body. Without annotations, they may be repeated, and only variables of heads stay; of rules
+        that are only counted, none, but the column __n says how many valuations a row stands for, if there is one."""
+        rule, done = variant.rule, set()
+        exact, counting = self.semiring is not None, rule.count and self.semiring is None
         now: DataFrame | None = None
         for at, k in enumerate(variant.order):
+            if k in done:
+                continue
             clause = rule.body[k]
-            later = self._later(variant, at)
             if isinstance(clause, Atom):
-                now = self._join(now, clause, k == variant.delta, later, exact)
+                closing = self._closing(variant, at, set(now.columns), done) if now is not None and not exact else []
+                if closing:
+                    done |= set(closing)
+                    now = self._extend(now, [(rule.body[j], j == variant.delta) for j in (k, *closing)])
+                else:
+                    now = self._join(now, clause, k == variant.delta, self._later(variant, at, done), exact, counting)
             elif isinstance(clause, Filter):
                 now = self._of(now).where(condition_of(clause.code, types_of(self._of(now)), clause.vars))
             elif isinstance(clause, Let):
@@ -87,15 +117,62 @@ class Body:
             elif isinstance(clause, Agg):
                 now = self._aggregate(now, clause, rule)
             elif isinstance(clause, Split):
-                now = self.cut(now.select(*(quoted(c) for c in now.columns if c in later or c == PROV)).distinct() if not exact else now)
+                later = self._later(variant, at, done)
+                now = self.cut(now if exact or counting else now.select(*(quoted(c) for c in now.columns if c in later)).distinct())
             if now is not None and not exact:
-                kept = [c for c in now.columns if c in later or c == PROV]
-                if len(kept) < len(now.columns):
+                later = self._later(variant, at, done)
+                kept = [c for c in now.columns if c in later or c == NUMBER]
+                if len(kept) < len(now.columns) and (kept or not counting):
                     now = now.select(*map(quoted, kept))
-                if self._early_distinct(variant, at) and kept:
+                    if counting and set(kept) - {NUMBER} == self._next_key(variant, at, set(kept), done) != set():
+                        now = self._summed(now)  # in the partitioning that the next join needs
+                if not counting and self._early_distinct(variant, at) and kept:
                     now = now.distinct()
         return now
 
+    def count(self, variant: Variant) -> int:
+        """The number of valuations of a rule that is only counted."""
+        found = self.evaluate(variant)
+        return found.agg(F.sum(NUMBER)).first()[0] or 0 if NUMBER in found.columns else found.count()
+
+    def _next_key(self, variant: Variant, at: int, bound: set[str], done: set[int]) -> set[str]:
+        """The variables on which the next atom is joined."""
+        after = next((variant.rule.body[k] for k in variant.order[at + 1 :] if k not in done and isinstance(variant.rule.body[k], Atom)), None)
+        return set(after.variables) & bound if after else set()
+
+    @staticmethod
+    def _summed(now: DataFrame) -> DataFrame:
+        keys = [quoted(c) for c in now.columns if c != NUMBER]
+        return now.groupBy(*keys).agg((F.sum(NUMBER) if NUMBER in now.columns else F.count(F.lit(1))).alias(NUMBER))
+
+    def _extend(self, now: DataFrame, atoms: list[tuple[Atom, bool]]) -> DataFrame:
+        """Valuations with one more variable, which several atoms bound. Each takes its values from the atom that has the fewest for it;
+        all proposals are one join, on the place of the atom and the values of its bound variables."""
+        bound = set(now.columns)
+        (fresh,) = [v for v in atoms[0][0].variables if v not in bound]
+        sources = [scan(a, self.relation(a.rel, changed)) for a, changed in atoms]
+        shared = [[v for v in a.variables if v != fresh] for a, _ in atoms]
+        columns = now.columns
+        for k, (source, keys) in enumerate(zip(sources, shared, strict=True)):
+            now = now.join(source.groupBy(*map(quoted, keys)).agg(F.count(F.lit(1)).alias(f"__d{k}")), keys)
+        degrees = [F.col(f"__d{k}") for k in range(len(sources))]
+        least = F.least(*degrees)
+        chosen, key = F.lit(len(sources) - 1), self._key(sources[-1], shared[-1])
+        for k in reversed(range(len(sources) - 1)):
+            chosen = F.when(degrees[k] == least, k).otherwise(chosen)
+            key = F.when(degrees[k] == least, self._key(sources[k], shared[k])).otherwise(key)
+        offers = [s.select(F.lit(k).alias("__of"), self._key(s, keys).alias("__key"), quoted(fresh)) for k, (s, keys) in enumerate(zip(sources, shared, strict=True))]
+        offered = reduce(DataFrame.unionByName, offers)
+        now = now.select(*map(quoted, columns), chosen.alias("__of"), key.alias("__key")).join(offered, ["__of", "__key"]).drop("__of", "__key")
+        for source, keys in zip(sources, shared, strict=True):
+            now = now.join(source, [*keys, fresh], "left_semi")
+        return now
+
+    @staticmethod
+    def _key(source: DataFrame, keys: list[str]) -> Column:
+        kinds = types_of(source)
+        return F.array(*(quoted(v).cast(kinds[v]).cast("string") for v in keys))
+
     def _early_distinct(self, variant: Variant, at: int) -> bool:
         """dedup_hash: repeated valuations go before the last join."""
         left = [k for k in variant.order[at + 1 :] if isinstance(variant.rule.body[k], Atom)]
@@ -104,14 +181,20 @@ class Body:
     def _of(self, now: DataFrame | None) -> DataFrame:
         return now if now is not None else self.relation("", False)
 
-    def _join(self, now: DataFrame | None, atom: Atom, changed: bool, later: set[str], exact: bool) -> DataFrame:
+    def _join(self, now: DataFrame | None, atom: Atom, changed: bool, later: set[str], exact: bool, counting: bool = False) -> DataFrame:
         source = self.relation(atom.rel, changed)
         if now is None:
-            return scan(atom, source, None if exact else later)
-        bound = set(now.columns) - {PROV}
+            if counting and (dropped := [v for v in atom.variables if v not in later]) and len(dropped) < len(atom.variables):
+                return self._summed(scan(atom, source).select(*(quoted(v) for v in atom.variables if v in later)))
+            return scan(atom, source, None if exact or counting else later)
+        bound = set(now.columns) - {PROV, NUMBER}
         shared = [v for v in atom.variables if v in bound]
         fresh = [v for v in atom.variables if v not in bound]
         wanted = fresh if exact else [v for v in fresh if v in later]
+        if counting and len(wanted) < len(fresh):
+            right = scan(atom, source).groupBy(*map(quoted, [*shared, *wanted])).agg(F.count(F.lit(1)).alias("__more"))
+            out = now.join(right, shared) if shared else now.crossJoin(F.broadcast(right) if not wanted else right)
+            return out.withColumn(NUMBER, F.col("__more") * (F.col(NUMBER) if NUMBER in now.columns else 1)).drop("__more")
         right = scan(atom, source, {*shared, *wanted})
         if PROV in right.columns:
             right = right.withColumnRenamed(PROV, "__right")
@@ -125,7 +208,7 @@ class Body:
         return out
 
     def _without(self, now: DataFrame, atom: Atom, rule: Rule) -> DataFrame:
-        bound = set(now.columns) - {PROV}
+        bound = set(now.columns) - {PROV, NUMBER}
         tested = [v for v in atom.variables if v in bound]
         right = scan(atom, self.relation(atom.rel, False), set(tested)).drop(PROV)
         if tested:

@@ -7,6 +7,7 @@ once. What is known is a list of such tables; every COMPACT iterations they beco
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -73,6 +74,9 @@ class Evaluation:
 
     def run(self) -> None:
         uses = Counter(a.rel for r in self.compiled.rules for c in r.body if (a := atom_of(c)))
+        for name, df in self.full.items():  # facts that a query makes, and that are read more than once, are made once
+            if uses[name] > 1 and name not in self.given_nothing and _MADE.search(df._jdf.queryExecution().optimizedPlan().toString()):
+                self.full[name] = self._stored(name)
         for plan in self.compiled.plans:
             self._once(plan, uses)
             if plan.recursive:
@@ -98,7 +102,7 @@ class Evaluation:
     def _once(self, plan: StratumPlan, uses: Counter) -> None:
         for v in plan.base:
             if v.rule.count:
-                self.counts[v.rule.name] = self.body().evaluate(v).count()
+                self.counts[v.rule.name] = self.body().count(v) if not self.semiring else self.body().evaluate(v).count()
         live = [v for v in plan.base if not v.rule.count]
         for name, new in self._heads(live).items():
             rows = self.merged(self.full[name].unionByName(new), name) if not self._empty_input(name) else self.merged(new, name)
@@ -197,5 +201,9 @@ class Evaluation:
     settled: set[str] = field(default_factory=set)
 
 
+#: What a plan has that does more than read and choose.
+_MADE = re.compile(r"\b(Join|Aggregate|Window|Generate|MapInArrow|MapInPandas|Sort)\b")
+
+
 def _plain(kind: str) -> str:
     return "".join(c if c.isalnum() else "_" for c in kind)

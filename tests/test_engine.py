@@ -10,7 +10,7 @@ from quarrylog import sum as total
 from quarrylog.operators.fixpoint import NotSettled
 from quarrylog.sources.delimited import detect_delimiter
 
-from .naive import evaluate
+from .naive import evaluate, valuations
 
 E, F2, P, Q, G = Relation("E", 2), Relation("F", 2), Relation("P", 2), Relation("Q", 1), Relation("G", 2)
 x, y, z, w, _ = Var("x"), Var("y"), Var("z"), Var("w"), Var("_")
@@ -34,6 +34,11 @@ PROGRAMS = {
     "mutual": ([[P(x, y) <= E(x, y), G(x, z) <= P(x, y) & F2(y, z), P(x, z) <= G(x, y) & E(y, z)]], ["P", "G"]),
     "same generation": ([[P(x, y) <= E(z, x) & E(z, y) & Filter(("x", "y"), lambda a, b: a != b), P(x, y) <= E(z, x) & P(z, w) & E(w, y)]], ["P"]),
     "triangle": ([[P(x, y) <= E(x, y) & E(y, z) & E(z, x)]], ["P"]),
+    "clique": ([[P(x, y) <= E(x, y) & E(y, z) & E(x, z) & E(x, w) & E(y, w) & E(z, w)]], ["P"]),
+    "square": ([[P(x, z) <= E(x, y) & F2(y, z) & E(z, w) & F2(w, x)]], ["P"]),
+    "labeled triangle": ([[P(x, z) <= E(x, y) & F2(y, z) & E(z, x) & F2(x, w) & F2(y, w) & F2(z, w) & Filter(("x", "z"), lambda a, b: a != b)]], ["P"]),
+    "recursive triangle": ([[P(x, y) <= E(x, y), P(x, z) <= P(x, y) & E(y, z) & F2(z, x)]], ["P"]),
+    "cycle through a constant": ([[Q(x) <= E(x, y) & F2(y, Const(1)) & F2(x, y) & E(y, x)]], ["Q"]),
     "repeated": ([[Q(x) <= E(x, x) & F2(x, x)]], ["Q"]),
     "negation": ([[P(x, y) <= E(x, y), P(x, z) <= P(x, y) & E(y, z)], [Q(x) <= E(x, _) & ~P(x, x) & ~F2(_, x)]], ["P", "Q"]),
     "negated constant": ([[Q(x) <= E(x, _) & ~F2(x, Const(1))]], ["Q"]),
@@ -89,6 +94,29 @@ def test_counts_are_of_valuations(spark):
     assert got.counts == {"n": 4, "m": 2} and got.size("P") == 0
 
 
+COUNTED = {
+    "star": P(x, y) <= E(x, y) & E(x, z) & F2(x, w),
+    "chain": P(x, w) <= E(x, y) & F2(y, z) & E(z, w),
+    "triangle": P(x, y) <= E(x, y) & E(y, z) & E(z, x),
+    "wild": Q(x) <= E(x, _) & F2(_, x),
+    "product": P(x, y) <= E(x, _) & F2(y, _),
+    "filtered": P(x, z) <= E(x, y) & F2(y, z) & Filter(("x", "z"), lambda a, b: a != b) & ~E(z, x),
+    "ground": Q(x) <= E(x, Const(1)) & F2(_, Const(2)),
+    "split": P(x, z) <= E(x, y) & SPLIT & F2(y, z),
+    "let": P(x, w) <= E(x, y) & Let("w", lambda a: a + 1, ("y",)) & Filter(("w",), lambda a: a > 2) & F2(y, z),
+}
+
+
+@pytest.mark.parametrize("name", COUNTED)
+def test_counts_agree_with_plain_valuations(spark, name):
+    draw = random.Random(name)
+    facts = {k: {(draw.randrange(5), draw.randrange(5)) for _ in range(11)} for k in ("E", "F")}
+    got = engine(spark, **{k: [*v, *v] for k, v in facts.items()}).run(Program([COUNTED[name].named("n").with_count()]))
+    rule = COUNTED[name]
+    named = rule if name not in ("wild", "product", "ground") else {"wild": Q(x) <= E(x, y) & F2(z, x), "product": P(x, y) <= E(x, z) & F2(y, w), "ground": Q(x) <= E(x, Const(1)) & F2(y, Const(2))}[name]
+    assert got.counts["n"] == len(valuations(named, facts))
+
+
 def test_iterations_can_be_limited(spark):
     rules = [P(x, y) <= E(x, y), P(x, z) <= P(x, y) & E(y, z)]
     got = engine(spark, E=[(k, k + 1) for k in range(12)]).run(Program(rules), max_iterations=2)
