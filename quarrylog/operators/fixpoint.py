@@ -3,6 +3,9 @@
 The loop's state is tables in the shared folder. Each iteration is one job: the rules' variants over what changed last, for all
 relations of the stratum together and tagged, without repetitions and without what is known, written and counted at
 once. What is known is a list of such tables; every COMPACT iterations they become one.
+
+Where much is known, LARGE tuples or more, it is not shuffled any more: the derived tuples are written first, and up to FEW of them
+go to wherever the known ones are. So an iteration moves what it derives, not what earlier ones did.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ from .body import PROV, Body, head_tuples
 from .tables import Tables
 
 COMPACT = 8
+LARGE, FEW = 2_000_000, 500_000
 
 
 @dataclass
@@ -116,6 +120,8 @@ class Evaluation:
         return name in self.given_nothing
 
     given_nothing: set[str] = field(default_factory=set)
+    #: How many tuples are known of each relation of the loop.
+    known: dict[str, int] = field(default_factory=dict)
     #: Relations of facts that may be repeated.
     raw: set[str] = field(default_factory=set)
 
@@ -139,12 +145,18 @@ class Evaluation:
     def _unknown(self, new: DataFrame, name: str) -> DataFrame:
         """The derived tuples that are new, or whose annotation is another one together with the known one."""
         keys = [k for k, _ in self.kinds(self.compiled.relations[name])]
+        derived, known = self.merged(new, name), self.full[name]
+        if self.known.get(name, 0) >= LARGE:
+            derived, (size,) = self.tables.write_counted(derived.withColumn("__rel", F.lit(0)), self.name(f"derived-{name}"), 1)
+            derived = derived.drop("__rel")
+            if size <= FEW:
+                known = known.join(F.broadcast(derived.select(*keys)), keys, "left_semi")
         if not self.semiring:
-            return self.merged(new, name).join(self.full[name], keys, "left_anti")
-        known = self.full[name].withColumn("__old", F.col(PROV))
-        both = self.merged(new, name).select(*keys, PROV, F.lit(None).cast(self.semiring.type).alias("__old")).unionByName(known)
-        added = both.groupBy(*keys).agg(self.semiring.add(F.col(PROV)).alias(PROV), F.max("__old").alias("__old"))
-        return added.where(~F.col(PROV).eqNullSafe(F.col("__old"))).drop("__old")
+            return derived.join(known, keys, "left_anti")
+        known = known.withColumn("__old", F.col(PROV))
+        both = derived.select(*keys, PROV, F.lit(None).cast(self.semiring.type).alias("__old")).unionByName(known)
+        added = both.groupBy(*keys).agg(self.semiring.add(F.col(PROV)).alias(PROV), F.max("__old").alias("__old"), F.count(F.lit(1)).alias("__parts"), F.count("__old").alias("__held"))
+        return added.where((F.col("__parts") > F.col("__held")) & ~F.col(PROV).eqNullSafe(F.col("__old"))).drop("__old", "__parts", "__held")
 
     def _loop(self, plan: StratumPlan) -> None:
         names = plan.stratum.relations
@@ -154,7 +166,8 @@ class Evaluation:
         inputs = {a.rel for v in plan.recursive for c in v.rule.body if (a := atom_of(c)) and a.rel not in names}
         for name in inputs:
             self.full[name] = self._stored(name)
-        start = self.tables.write(self._packed({n: self.full[n].distinct() if n in self.raw else self.full[n] for n in names}, names), self.name("start"))
+        start, sizes = self.tables.write_counted(self._packed({n: self.full[n].distinct() if n in self.raw else self.full[n] for n in names}, names), self.name("start"), len(names))
+        self.known = dict(zip(names, sizes, strict=True))
         self.raw -= set(names)
         segments = {n: [df] for n, df in self._unpacked(start, names).items()}
         self.full |= {n: s[0] for n, s in segments.items()}
@@ -175,18 +188,23 @@ class Evaluation:
                 size = sizes[derived.index(n)] if n in derived else 0
                 self.changed[n] = parts[n] if size else self.full[n].limit(0)
                 if size:
-                    if self.semiring:
-                        keys = [k for k, _ in self.kinds(self.compiled.relations[n])]
-                        kept = self.full[n].join(parts[n], keys, "left_anti").unionByName(parts[n])
-                        self.full[n] = self.tables.write(kept, self.name(n))
-                        continue
+                    self.known[n] += size  # of annotated tuples at most, as some are there before
                     segments[n].append(parts[n])
+                    self.full[n] = self._together(n, segments[n])
                     if len(segments[n]) > COMPACT:
-                        segments[n] = [self.tables.write(reduce(DataFrame.unionByName, segments[n]), self.name(n))]
-                    self.full[n] = reduce(DataFrame.unionByName, segments[n])
+                        segments[n] = [self.tables.write(self.full[n], self.name(n))]
+                        self.full[n] = segments[n][0]
         self.iterations[names] = step
         self.changed.clear()
 
+    def _together(self, name: str, parts: list[DataFrame]) -> DataFrame:
+        """One set of several parts; of a tuple's annotations that of the last part counts."""
+        every = parts[0]
+        keys = [k for k, _ in self.kinds(self.compiled.relations[name])]
+        for part in parts[1:]:
+            every = (every.join(part, keys, "left_anti") if self.semiring else every).unionByName(part)
+        return every
+
     def _stored(self, name: str) -> DataFrame:
         """An input of a loop, computed once and kept as a table."""
         df = self.full[name]

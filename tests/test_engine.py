@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarrylog import SPLIT, Agg, Const, Engine, Filter, LanguageError, Let, Program, Relation, Var, agg, count, cpp, run
 from quarrylog import sum as total
+from quarrylog.operators import fixpoint
 from quarrylog.operators.fixpoint import NotSettled
 from quarrylog.sources.delimited import detect_delimiter
 
@@ -129,6 +130,20 @@ def test_long_chains_are_compacted(spark):
     assert got.size("P") == 196
 
 
+@pytest.mark.parametrize("few", [0, 3, 10**6])
+def test_much_that_is_known_stays_where_it_is(spark, monkeypatch, few):
+    monkeypatch.setattr(fixpoint, "LARGE", 5)
+    monkeypatch.setattr(fixpoint, "FEW", few)
+    draw = random.Random(5)
+    for name in ("nonlinear", "mutual", "recursive triangle"):
+        strata, heads = PROGRAMS[name]
+        facts = {k: {(draw.randrange(7), draw.randrange(7)) for _ in range(14)} for k in ("E", "F")}
+        got = engine(spark, E=facts["E"], F=facts["F"]).run(Program([r for rules in strata for r in rules]))
+        expected = evaluate(strata, facts)
+        assert all(rows(got, h) == expected.get(h, set()) for h in heads)
+    test_annotated_recursion(spark)
+
+
 def test_hooks_see_every_iteration(spark):
     seen = []
     rules = [P(x, y) <= E(x, y), (P(x, z) <= P(x, y) & E(y, z)).with_hook(lambda c: seen.append((c.iteration, c.relation("P").count())))]
