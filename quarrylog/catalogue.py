@@ -6,6 +6,7 @@ Graphs are drawn from whole tables: trade between nations, chains of a customer'
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -304,7 +305,7 @@ ORACLES["dataset_const"] = "SELECT DISTINCT CAST(n_nationkey AS BIGINT) AS natio
 def _delimited(sep: str, name: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf: str) -> DataFrame:
         """Facts written as delimited text and read back by a program."""
-        path = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.gettempdir()}/quarrylog-{name}"
+        path = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.gettempdir()}/quarrylog-{name}-{uuid.uuid4().hex}"
         _table(spark, sf, "part").select("p_partkey", "p_brand", "p_size", "p_retailprice").select(F.concat_ws(sep, *("p_partkey", "p_brand", "p_size", "p_retailprice")).alias("value")).write.mode("overwrite").text(path)
         rel = _rel("PartFile", 3, (int, str, int), input_file="")
         program = Program([S2(x, y) <= rel(x, y, z) & Filter(("z",), "z >= 10 && z < 30")])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html as entities
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
@@ -166,13 +167,30 @@ class Engine:
 
 
 def explain(program: Program, mode: str = "json") -> str:
-    """The compiled program: strata, rules, variants and their clause orders; as JSON, or a line each."""
+    """The compiled program: strata, rules, variants and their clause orders; as JSON, HTML, or a line each."""
     compiled = compile_program(program)
+    if mode == "html":
+        return "\n".join(_as_html(compiled.describe()))
     if mode == "json":
         return compiled.json()
     return "\n".join(f"{'rec' if p.stratum.is_recursive else 'base'} {{{', '.join(p.stratum.relations)}}}: {v.rule.name} delta={v.delta} order={list(v.order)}" for p in compiled.plans for v in (*p.base, *p.recursive))
 
 
+def _as_html(told: dict) -> Iterable[str]:
+    """Relations as a table, and a part for each stratum with its rules; no scripts, so that it shows in a notebook."""
+    safe = entities.escape
+    yield "<table><tr><th>relation</th><th>columns</th><th>semiring</th><th>file</th></tr>"
+    for r in told["relations"]:
+        yield f"<tr><td>{safe(r['name'])}</td><td>{safe(', '.join(r['types']))}</td><td>{safe(r['semiring'])}</td><td>{safe(r['input_file'])}</td></tr>"
+    yield "</table>"
+    for k, s in enumerate(told["strata"]):
+        yield f"<details open><summary>stratum {k}: {safe(', '.join(s['relations']))}{' (recursive)' if s['recursive'] else ''}</summary><ol>"
+        for v in (*s["base"], *s["variants"]):
+            changed = f", change in clause {v['delta']}" if v["delta"] >= 0 else ""
+            yield f"<li title='{safe(v['where'], quote=True)}'><b>{safe(v['rule'])}</b>{' (counted)' if v['count'] else ''}: <code>{safe(v['text'])}</code> clauses {v['clause_order']}{changed}</li>"
+        yield "</ol></details>"
+
+
 def run(spark: SparkSession, program: Program, facts: dict[Relation, DataFrame] | None = None, load: Callable[[Engine], object] | None = None, **options) -> Result:
     engine = Engine(spark)
     for relation, df in (facts or {}).items():

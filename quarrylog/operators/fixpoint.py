@@ -170,6 +170,8 @@ class Evaluation:
         self.known = dict(zip(names, sizes, strict=True))
         self.raw -= set(names)
         segments = {n: [df] for n, df in self._unpacked(start, names).items()}
+        labels: dict[str, list[str]] = {n: [] for n in names}  # of the tables behind the segments that steps wrote
+        written: set[str] = set()
         self.full |= {n: s[0] for n, s in segments.items()}
         self.changed |= self.full
         step = 0
@@ -184,16 +186,23 @@ class Evaluation:
                 self.tables.drop(label)
                 break
             parts = self._unpacked(table, derived)
+            written.add(label)
             for n in names:
                 size = sizes[derived.index(n)] if n in derived else 0
                 self.changed[n] = parts[n] if size else self.full[n].limit(0)
                 if size:
                     self.known[n] += size  # of annotated tuples at most, as some are there before
                     segments[n].append(parts[n])
+                    labels[n].append(label)
                     self.full[n] = self._together(n, segments[n])
                     if len(segments[n]) > COMPACT:
-                        segments[n] = [self.tables.write(self.full[n], self.name(n))]
+                        place = self.name(n)
+                        segments[n], labels[n] = [self.tables.write(self.full[n], place)], [place]
                         self.full[n] = segments[n][0]
+                        written.add(place)
+            for old in written - {label} - {x for own in labels.values() for x in own}:  # nothing reads these any more
+                self.tables.drop(old)
+                written.discard(old)
         self.iterations[names] = step
         self.changed.clear()
 

@@ -1,6 +1,8 @@
 import json
 
-from quarrylog import Engine, Program, Relation, Var
+import pytest
+
+from quarrylog import Engine, LanguageError, PlanEntry, Program, Relation, Var
 from quarrylog.__main__ import find_program, main
 from quarrylog.streaming import maintain
 
@@ -28,6 +30,21 @@ def test_command_line(spark, tmp_path, capsys):
     assert "P\t4" in out
 
 
+def test_programs_are_shown_and_planned_anew(tmp_path, capsys):
+    (tmp_path / "prog.py").write_text(SOURCE.replace("p(x, y) <= e(x, y), p(x, z)", "(p(x, y) <= e(x, y)).named('first'), p(x, z)") + "\ndef other(meta):\n    return build_small_program(meta)\n")
+    program = find_program(str(tmp_path / "prog.py"), entry="other")
+    assert program.rules[0].where.endswith("prog.py:6")
+    assert "<code>P(x, y) &lt;= E(x, y)</code>" in program._repr_html_()
+    with pytest.raises(SystemExit):
+        find_program(str(tmp_path / "prog.py"), entry="none")
+    (tmp_path / "plans.json").write_text(json.dumps({"first": [{"delta": -1, "var_order": ["y", "x"]}]}))
+    assert program.planned(json.loads((tmp_path / "plans.json").read_text())).rules[0].plans == (PlanEntry(var_order=("y", "x")),)
+    with pytest.raises(LanguageError):
+        program.planned({"none": []})
+    assert main(["explain", str(tmp_path / "prog.py"), "--entry", "other", "--plans", str(tmp_path / "plans.json"), "--as", "text"]) == 0
+    assert "first delta=-1" in capsys.readouterr().out
+
+
 def test_streams(spark, tmp_path):
     e, p = Relation("E", 2), Relation("P", 2)
     x, y, z = map(Var, "xyz")
