@@ -63,9 +63,12 @@ class Scratch:
 
 
 def bounded_batches(spark: SparkSession, rows: int = 500, size: str = "4m") -> None:
-    """Keeps the batches that are read from Parquet and sent to Python workers small, as one text may be megabytes long."""
-    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    """Keeps the batches that are read from Parquet and sent to Python workers small, as one text may be megabytes long.
+
+    Plans are run after the operator returned, so this holds for the session; batches that are smaller already stay so."""
+    for key in ("spark.sql.parquet.columnarReaderBatchSize", "spark.sql.execution.arrow.maxRecordsPerBatch"):
+        if not 0 < int(spark.conf.get(key)) <= rows:
+            spark.conf.set(key, str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 

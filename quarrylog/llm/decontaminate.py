@@ -143,6 +143,7 @@ class ItemMatcher:
         least = np.full(count, self.NEVER, np.int32)
         np.minimum.at(least, marks[:, 0], marks[:, 1])
         own = (np.diff(first) > 0).tolist()
+        self.root = {**auto.more.get(0, {}), auto.word[0]: auto.to[0]}
         #: The shortest match length at a state from which a window ends there, and the nearest suffix state with marks.
         self.least, self.marked = array("i", least.tobytes()), array("i", [-1]) * count
         for s in np.argsort(np.frombuffer(auto.length, np.int32), kind="stable").tolist():
@@ -160,7 +161,7 @@ class ItemMatcher:
     def matches(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set]:
         """(the runs of hit words as sorted, disjoint [start, end), the items with occurring windows)."""
         auto, least = self.auto, self.least
-        one, to_, more, link, lengths = auto.word, auto.to, auto.more, auto.link, auto.length
+        root, one, to_, more, link, lengths = self.root, auto.word, auto.to, auto.more, auto.link, auto.length
         found: list[tuple[int, int]] = []
         items: set = set()
         state = length = 0
@@ -168,18 +169,19 @@ class ItemMatcher:
             if w is None:
                 state = length = 0
                 continue
-            while True:
+            while state:
                 if one[state] == w:
                     to = to_[state]
                     break
                 to = more[state].get(w, -1) if state in more else -1
-                if to >= 0 or not state:
+                if to >= 0:
                     break
                 state = link[state]
                 length = lengths[state]
-            if to < 0:
+            if not state:
                 length = 0
-                continue
+                if (to := root.get(w, -1)) < 0:
+                    continue
             state, length = to, length + 1
             if length >= least[state]:
                 widest, s = 0, self.marked[state]

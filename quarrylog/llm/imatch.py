@@ -54,9 +54,9 @@ def document_frequencies(docs: DataFrame, text: str = "text", held: int = 2_000_
     return docs.select(F.col(text).cast("string").alias("text")).mapInArrow(run, schema(term="long", n="long")).groupBy("term").agg(F.sum("n").alias("n"))
 
 
-def lexicon(docs: DataFrame, low: float = 1e-4, high: float = 0.05, text: str = "text") -> DataFrame:
+def lexicon(docs: DataFrame, scratch: Scratch, low: float = 1e-4, high: float = 0.05, text: str = "text") -> DataFrame:
     """(term): the hashes of the terms that a share from low to high of all documents has, and two at least."""
-    counts = Scratch(docs.sparkSession).write(document_frequencies(docs, text), "frequencies")
+    counts = scratch.write(document_frequencies(docs, text), "frequencies")
     n = docs.count()
     return counts.where((F.col("n") >= max(2.0, low * n)) & (F.col("n") <= max(2.0, high * n))).select("term")
 
@@ -169,11 +169,13 @@ def imatch(docs: DataFrame, low: float = 1e-4, high: float = 0.05, most: int = 4
     spark = docs.sparkSession
     bounded_batches(spark)
     scratch = Scratch(spark)
-    band = scratch.write(lexicon(docs, low, high), "lexicon")
+    band = scratch.write(lexicon(docs, scratch, low, high), "lexicon")
+    scratch.drop("frequencies")
     kinds = schema(doc_id="long", n_chars="long", edited_sha256="string", fingerprint="string", edited_fingerprint="string", near_edited="double", near_next="double")
     if band.count() > most:
         return _by_join(with_next(docs), band, scratch, kinds)
     shared = spark.sparkContext.broadcast(np.sort(band.toPandas()["term"].to_numpy(np.int64).view(np.uint64)))
+    scratch.drop("lexicon")
 
     def run(batches):
         held, last = shared.value, (None, "")

@@ -454,5 +454,6 @@ def remove_repeats(docs: DataFrame, length: int = 50, gram: int = 28, doc_id: st
         strings = opened(pending.join(crowded, "g", "left_semi")).mapInArrow(_string_rows(length, gram, own, held // 2), schema(**_columns(own)))
         dealt = F.when(F.col("pos") >= 0, F.col("g")).otherwise(F.xxhash64("doc", "c"))
         every = every.unionByName(scratch.write(strings.repartition(dealt).sortWithinPartitions("g", "c", place).mapInArrow(_resolved(length, None), MARKS), "strings"))
+    scratch.drop("crowded")
     spans = every.repartition("doc").sortWithinPartitions("doc", "a").mapInArrow(_packed("a", "b"), schema(doc="long", a="binary", b="binary"))
     return body.join(spans.hint("shuffle_hash"), "doc", "left").mapInArrow(_finish(length, gram), schema(doc_id="long", n_bytes="long", n_removed="long", n_spans="long", kept_sha256="string", kept="binary"))
