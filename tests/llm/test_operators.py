@@ -987,3 +987,50 @@ def test_values_inside_failed_candidates(text, value):
         new, found = pii.Pseudonyms(key).replace(text)
         assert [text[a:b] for a, b, *_ in found] == [value] and value not in new and new != text
         assert pii.Pseudonyms(key, back=True).replace(new)[0] == text
+
+
+OPERATORS = {
+    "contamination": lambda docs, items, labels: decontaminate.contamination(docs, items),
+    "contamination in blocks": lambda docs, items, labels: decontaminate.contamination(docs, items, block_bytes=20),
+    "decontaminate": lambda docs, items, labels: decontaminate.decontaminate(docs, items).select("doc_id", "text"),
+    "near duplicates": lambda docs, items, labels: simhash.near_duplicates(docs),
+    "keep one": lambda docs, items, labels: simhash.keep_one(docs).select("doc_id", "text"),
+    "lines": lambda docs, items, labels: lines.LineIndex.build(docs).apply(docs),
+    "lines by join": lambda docs, items, labels: lines.LineIndex.build(docs, broadcast_keys=0).apply(docs),
+    "frequent lines": lambda docs, items, labels: lines.drop_frequent_lines(docs).select("doc_id", "text"),
+    "packing": lambda docs, items, labels: packing.pack(docs, TOKENIZER).drop("sequence_id", "offset", "start", "length", "ids_crc32").distinct(),
+    "pii": lambda docs, items, labels: pii.pseudonymise(docs, b"k").drop("found"),
+    "repeats": lambda docs, items, labels: substrings.remove_repeats(docs),
+    "imatch": lambda docs, items, labels: imatch.imatch(docs),
+    "quality": lambda docs, items, labels: quality.score(docs, quality.fit(docs, labels)),
+}
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_odd_tables(spark, name):
+    """Nulls, ties, repeated rows, a very long text, columns of clashing names, and no rows at all: each operator has its result, and
+    what is in other columns makes no difference."""
+    draw = random.Random(12)
+    words = ["".join(draw.choices("abcdefgh", k=5)) for _ in range(500)]
+    long = " ".join(draw.choices(words, k=400_000)) + "\n" + "x" * 1_200_000
+    texts = [None, "", " ", "One short text.", "One short text.", long, "a\nb\nc", "4111 1111 1111 1111", None]
+    ids = [0, 1, 2, 3, 3, 5, None, 7, None]
+    docs = documents(spark, texts, ids)
+    items = spark.createDataFrame([(1, "one short text of an item that is long enough to have a window of its own"), (None, None), (2, "")], "item_id bigint, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(9)], "doc_id bigint, quality int")
+    run = OPERATORS[name]
+    plain = sorted(map(str, run(docs, items, labels).collect()))
+    assert plain
+    taken = "n_words n_hit spans ids row fp fp0 rep component component_id node mark keys n t key tile own places drop k1 k2 shard table kept doc at a b g c pos context bucket extra place terms term which score label quality values first found start end bytes digest held_out".split()
+    more = docs.selectExpr("*", *(f"'z' AS `{c}`" for c in taken))
+    assert sorted(map(str, run(more, items.selectExpr("*", "1 AS id", "2 AS row"), labels.selectExpr("*", "1 AS text", "2 AS label")).collect())) == plain
+    assert run(docs.limit(0), items, labels).count() == 0
+    assert run(docs.limit(0), items.limit(0), labels.limit(0)).count() == 0
+
+
+def test_odd_pages(spark):
+    pages = spark.createDataFrame([(1, "u", "<article><p>" + "Some words of a page. " * 60_000 + "</p></article>", "x", 1), (None, None, None, "y", 2), (1, "u", "", "z", 3), (1, "u", "", "z", 3)], "page_id bigint, url string, html string, text string, n_chars int")
+    got = extract.extract(pages).collect()
+    assert sorted(r.n_chars for r in got) == [0, 0, 0, 60_000 * 22 - 1] and extract.extract(pages.limit(0)).count() == 0
+    recs = warc.records(pages)
+    assert {r.status for r in warc.audit(recs, recs).collect()} == {"sound"}
