@@ -289,6 +289,7 @@ query("split_rule", [R2(n, c) <= LINE(o, p, u, _) & PART(p, _, z) & Filter(("z",
 query("semi_join_rewrite", [(R2(n, c) <= LINE(o, p, u, _) & PART(p, _, z) & Filter(("z",), "z > 40") & SUPPLIER(u, n) & ORDERS(o, c, _)).with_semi_join()], R2, "seller cust", _SPLIT_SQL)
 query("semi_join_of_three", [(R2(n, c) <= LINE(o, p, u, _) & ORDERS(o, c, Const("F")) & SUPPLIER(u, n) & SUPPLIES(u, p) & PART(p, _, Const(7))).with_semi_join()], R2, "seller cust", "SELECT DISTINCT CAST(s_nationkey AS BIGINT) AS seller, o_custkey AS cust FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey JOIN orders ON o_orderkey = l_orderkey WHERE p_size = 7 AND o_orderstatus = 'F'")
 query("plan_hints", [(R2(n, c) <= LINE(o, p, u, _) & PART(p, _, z) & Filter(("z",), "z > 40") & SUPPLIER(u, n) & ORDERS(o, c, _)).with_plan(clause_order=(1, 0, 3, 4), dedup_hash=True, block_group=True)], R2, "seller cust", _SPLIT_SQL)
+query("balanced_hint", [(R2(n, c) <= LINE(o, p, u, _) & PART(p, _, z) & Filter(("z",), "z > 40") & SUPPLIER(u, n) & ORDERS(o, c, _)).with_plan(balanced_root=("p",), balanced_sources=("Line",))], R2, "seller cust", _SPLIT_SQL)
 query("var_order_hint", [(R2(n, c) <= LINE(o, p, u, _) & PART(p, _, z) & Filter(("z",), "z > 40") & SUPPLIER(u, n) & ORDERS(o, c, _)).with_plan(var_order=("u", "n", "p"))], R2, "seller cust", _SPLIT_SQL)
 
 

@@ -24,6 +24,8 @@ from ..language import Agg, Atom, Const, Filter, Let, Negation, Rule, Split, Var
 from ..plans.ordering import Variant, group_vars, needs
 
 PROV = "__prov"
+#: Where a plan asks for balance, values with more than HEAVY tuples are dealt to SALTS parts.
+HEAVY, SALTS = 100_000, 32
 #: How many valuations a row stands for, in rules that are only counted.
 NUMBER = "__n"
 
@@ -105,7 +107,7 @@ class Body:
                     done |= set(closing)
                     now = self._extend(now, [(rule.body[j], j == variant.delta) for j in (k, *closing)])
                 else:
-                    now = self._join(now, clause, k == variant.delta, self._later(variant, at, done), exact, counting)
+                    now = self._join(now, clause, k == variant.delta, self._later(variant, at, done), exact, counting, bool(variant.plan and (variant.plan.balanced_root or variant.plan.balanced_sources)))
             elif isinstance(clause, Filter):
                 now = self._of(now).where(condition_of(clause.code, types_of(self._of(now)), clause.vars))
             elif isinstance(clause, Let):
@@ -181,7 +183,7 @@ class Body:
     def _of(self, now: DataFrame | None) -> DataFrame:
         return now if now is not None else self.relation("", False)
 
-    def _join(self, now: DataFrame | None, atom: Atom, changed: bool, later: set[str], exact: bool, counting: bool = False) -> DataFrame:
+    def _join(self, now: DataFrame | None, atom: Atom, changed: bool, later: set[str], exact: bool, counting: bool = False, balanced: bool = False) -> DataFrame:
         source = self.relation(atom.rel, changed)
         if now is None:
             if counting and (dropped := [v for v in atom.variables if v not in later]) and len(dropped) < len(atom.variables):
@@ -201,12 +203,25 @@ class Body:
         elif not wanted:
             test = right.select(*map(quoted, shared)) if shared else right.select(F.lit(True).alias("__some")).limit(1)
             return now.join(test, shared, "left_semi") if shared else now.join(F.broadcast(test), how="left_semi", on=F.lit(True))
-        out = now.join(right, shared) if shared else now.crossJoin(right)
+        if balanced and shared:
+            now, right, shared = self._balanced(now, right, shared)
+        out = (now.join(right, shared) if shared else now.crossJoin(right)).drop("__salt")
         if "__right" in out.columns:
             value = self.semiring.mul(F.col(PROV), F.col("__right")) if PROV in now.columns else F.col("__right")
             out = out.withColumn(PROV, value).drop("__right")
         return out
 
+    @staticmethod
+    def _balanced(now: DataFrame, right: DataFrame, shared: list[str]) -> tuple[DataFrame, DataFrame, list[str]]:
+        """Both sides with a salt to join on as well: tuples of values that have very many are dealt to parts, and the valuations of such
+        values go to every part; all others are in part 0. The result is the same."""
+        keys = [quoted(c) for c in shared]
+        heavy = right.groupBy(*keys).agg(F.count(F.lit(1)).alias("__many")).where(F.col("__many") > HEAVY).withColumn("__many", F.lit(True))
+        parts = F.when(F.col("__many"), SALTS).otherwise(1)
+        left = now.join(heavy, shared, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__many")
+        dealt = F.when(F.col("__many"), F.pmod(F.xxhash64(*(quoted(c) for c in right.columns)), F.lit(SALTS)).cast("int")).otherwise(0)
+        return left, right.join(heavy, shared, "left").withColumn("__salt", dealt).drop("__many"), [*shared, "__salt"]
+
     def _without(self, now: DataFrame, atom: Atom, rule: Rule) -> DataFrame:
         bound = set(now.columns) - {PROV, NUMBER}
         tested = [v for v in atom.variables if v in bound]

@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from quarrylog import SPLIT, Agg, Const, Engine, Filter, LanguageError, Let, Program, Relation, Var, agg, count, cpp, run
 from quarrylog import sum as total
-from quarrylog.operators import fixpoint
+from quarrylog.operators import body, fixpoint
 from quarrylog.operators.fixpoint import NotSettled
 from quarrylog.sources.delimited import detect_delimiter
 
 from .naive import evaluate, valuations
 
+builtins_sum = sum
 E, F2, P, Q, G = Relation("E", 2), Relation("F", 2), Relation("P", 2), Relation("Q", 1), Relation("G", 2)
 x, y, z, w, _ = Var("x"), Var("y"), Var("z"), Var("w"), Var("_")
 
@@ -84,6 +85,21 @@ def test_hints_change_nothing(spark):
     assert found[0] and all(f == found[0] for f in found)
 
 
+def test_balanced_joins_change_nothing(spark, monkeypatch):
+    monkeypatch.setattr(body, "HEAVY", 3)
+    draw = random.Random(2)
+    e = {(draw.randrange(40), draw.choice([0, 0, 0, 1, 2])) for _ in range(60)} | {(1, None)}
+    f = {(draw.choice([0, 0, 0, 0, 1, 2]), draw.randrange(40)) for _ in range(60)} | {(None, 1)}
+    plain = P(x, z) <= E(x, y) & F2(y, z)
+    expected = {(a, d) for a, b in e for c, d in f if b == c and b is not None}
+    for rule in (plain, plain.with_plan(balanced_root=["y"], balanced_sources=["E", "F"])):
+        assert rows(engine(spark, E=sorted(e, key=str), F=sorted(f, key=str)).run(Program([rule])), "P") == expected
+    ring = [Relation(n, 2, semiring="Bag") for n in "EFP"]
+    rule = (ring[2](x, z) <= ring[0](x, y) & ring[1](y, z)).with_plan(balanced_root=["y"])
+    got = Engine(spark).add_facts(ring[0], [r for r in e if r[1] is not None]).add_facts(ring[1], [r for r in f if r[0] is not None]).run(Program([rule]))["P"].collect()
+    assert {tuple(r) for r in got} == {(a, d, builtins_sum((a, k) in e and (k, d) in f for k in range(3))) for a, d in expected}
+
+
 def test_facts_are_sets_and_derived_relations_may_have_some(spark):
     got = Engine(spark).add_facts(E, [(1, 2), (1, 2)]).add_facts(P, [(7, 7), (1, 2)]).run(Program([P(x, y) <= E(x, y)]))
     assert sorted(map(tuple, got["P"].collect())) == [(1, 2), (7, 7)] and got.size("P") == 2
