@@ -4,8 +4,8 @@ The loop's state is tables in the shared folder. Each iteration is one job: the
 relations of the stratum together and tagged, without repetitions and without what is known, written and counted at
 once. What is known is a list of such tables; every COMPACT iterations they become one.
 
-Where much is known, LARGE tuples or more, it is not shuffled any more: the derived tuples are written first, and up to FEW of them
-go to wherever the known ones are. So an iteration moves what it derives, not what earlier ones did.
+Where much is known, LARGE tuples or more, it is not shuffled any more: the derived tuples are written first, and up to FEW of them,
+of FEW_BYTES on disk, go to wherever the known ones are. So an iteration moves what it derives, not what earlier ones did.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from .body import PROV, Body, head_tuples
 from .tables import Tables
 
 COMPACT = 8
-LARGE, FEW = 2_000_000, 500_000
+LARGE, FEW, FEW_BYTES = 2_000_000, 500_000, 32 << 20
 
 
 @dataclass
@@ -149,7 +149,7 @@ class Evaluation:
         if self.known.get(name, 0) >= LARGE:
             derived, (size,) = self.tables.write_counted(derived.withColumn("__rel", F.lit(0)), self.name(f"derived-{name}"), 1)
             derived = derived.drop("__rel")
-            if size <= FEW:
+            if size <= FEW and self.tables.size(derived) <= FEW_BYTES:
                 known = known.join(F.broadcast(derived.select(*keys)), keys, "left_semi")
         if not self.semiring:
             return derived.join(known, keys, "left_anti")

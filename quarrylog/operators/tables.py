@@ -40,6 +40,11 @@ class Tables:
         found = seen.get
         return table, [int(found.get(f"n{k}") or 0) for k in range(tags)]
 
+    @staticmethod
+    def size(table: DataFrame) -> int:
+        """The bytes of a written table's files."""
+        return int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
     def drop(self, name: str) -> None:
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
