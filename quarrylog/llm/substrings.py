@@ -25,8 +25,8 @@ from .hashing import BASE, INVERSE, PART, VALUE, _powers, scrambled
 #: (doc, a, b, g): b > 0: the span [a, a + b); b = -1: all strings over the anchor at a are copies; b = -2: some may be.
 MARKS = schema(doc="long", a="int", b="int", g="long")
 COVERED, OPEN = -1, -2
-#: What a row of the first exchange is, by pos: an anchor's place; a sign that its gram has many contexts; a span; an open anchor.
-SIGN, SPAN, UNTOLD = -1, -2, -3
+#: What a row of an exchange is, by pos: a place; a sign that others have its key too; a span; an open anchor; strings that may have copies.
+SIGN, SPAN, UNTOLD, MAYBE = -1, -2, -3, -4
 _LOW = (1 << 32) - 1
 _LEAST = -(1 << 63)
 #: A second random value for each byte, with which sums are independent of those with the first.
@@ -281,6 +281,18 @@ def _context_rows(length: int, gram: int, own: bool):
     return run
 
 
+def _string_hashes(b: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each string in each of the rows of bytes."""
+    wide = b.shape[1]
+    up, down = _Base.of(wide + 1)
+    hashes = []
+    for values in (VALUE, OTHER):
+        total = np.zeros((len(b), wide + 1), np.uint64)
+        np.cumsum(values[b] * up[:wide], axis=1, out=total[:, 1:])
+        hashes.append(scrambled((total[:, length:] - total[:, : wide - length + 1]) * down[: wide - length + 1]))
+    return hashes[0], hashes[1]
+
+
 def _compared(length: int, gram: int, rows: int = 8192):
     """Of contexts sorted by gram and document: a span for each string in them that an earlier document's context of the gram has too."""
     side = length - gram
@@ -289,12 +301,7 @@ def _compared(length: int, gram: int, rows: int = 8192):
     def told(g, doc, own, pos, contexts):
         b = np.frombuffer(b"".join(x.ljust(wide, b"\0") for x in contexts), np.uint8).reshape(-1, wide)
         behind, p = pos & _LOW, pos >> 32
-        up, down = _Base.of(wide + 1)
-        hashes = []
-        for values in (VALUE, OTHER):
-            total = np.zeros((len(b), wide + 1), np.uint64)
-            np.cumsum(values[b] * up[:wide], axis=1, out=total[:, 1:])
-            hashes.append(scrambled((total[:, length:] - total[:, : side + 1]) * down[: side + 1]))
+        hashes = _string_hashes(b, length)
         start = p[:, None] - side + np.arange(side + 1)
         valid = (start >= 0) & (start + length <= (p + behind)[:, None])
         h, k, start = hashes[0][valid], hashes[1][valid], start[valid]
@@ -328,26 +335,132 @@ def _compared(length: int, gram: int, rows: int = 8192):
     return run
 
 
-def _string_rows(length: int, gram: int, own: bool, held: int):
-    """The hashes of all strings over the open anchors of each document: rows (g, c, doc, start of the string)."""
+def _window(length: int, gram: int) -> int:
+    """How many neighbouring strings share a row until another document is known to have their common piece: about as many as such rows an anchor has."""
+    return round((length - gram + 1) ** 0.5)
+
+
+def _strings_in(b: np.ndarray, first: np.ndarray, n: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, other hash, row, start) of the n strings that begin at `first` and behind it, whose bytes are the rows of b."""
+    hashes = _string_hashes(b, length)
+    valid = np.arange(hashes[0].shape[1]) < n[:, None]
+    row, k = np.nonzero(valid)
+    return hashes[0][valid], hashes[1][valid], row, first[row] + k
+
+
+class _Windows:
+    """Windows of neighbouring strings over open anchors in one task: (piece, document, first start, strings, bytes).
+
+    The piece is what all strings of a full window share, so a string with a copy elsewhere has its piece there too. Where
+    documents in here share a piece, the strings leave, combined, with a sign for the piece; else the window does, as one row."""
+
+    def __init__(self, own: bool, length: int, held: int):
+        self.own, self.length, self.held = own, length, held
+        self.parts, self.size = [], 0
+
+    def add(self, piece, doc: int, own: int, first, n, b, size: int):
+        self.parts.append((piece, np.full(len(piece), doc, np.int64), np.full(len(piece), own, np.int64), first, n, b, np.full(len(piece), size, np.int64)))
+        self.size += len(piece)
+        if self.size >= self.held:
+            yield from self.flush()
+
+    def flush(self):
+        piece, doc, own, first, n, b, size = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        self.parts, self.size = [], 0
+        order = np.lexsort((own, piece))
+        new = _runs(piece[order])
+        run, least = np.cumsum(new) - 1, own[order][new]
+        shared = np.zeros(len(piece), bool)
+        shared[order] = (np.bincount(run, weights=own[order] != least[run]) > 0)[run]
+        if shared.any():
+            h, k, row, start = _strings_in(b[shared], first[shared], n[shared], self.length)
+            once = np.unique(np.stack([doc[shared][row], start]), axis=1, return_index=True)[1]  # windows of several anchors overlap
+            row = row[once]
+            strings = _Combined(self.own, (0, self.length), self.held, None)
+            strings.parts.append((h[once], k[once], doc[shared][row], own[shared][row], start[once], size[shared][row]))
+            out = strings.flush()
+            yield out.append_column("piece", pa.nulls(out.num_rows, pa.binary()))
+        told = np.unique(piece[shared])
+        none, alone = np.full(len(told), _LEAST), ~shared
+        cols = [np.concatenate(x) for x in ((told.view(np.int64), piece[alone].view(np.int64)), (none, first[alone]), (none, doc[alone]), (none, own[alone]), (np.full(len(told), SIGN), np.full(int(alone.sum()), MAYBE)))]
+        pieces = [None] * len(told) + [x[: self.length - 1 + m].tobytes() for x, m in zip(b[alone], n[alone].tolist(), strict=True)]
+        names = ("g", "c", "doc", "own", "pos")
+        yield batch_of({k: (v, pa.int64()) for k, v in zip(names, cols, strict=True) if k != "own" or self.own} | {"piece": (pieces, pa.binary())})
+
+
+def _window_rows(length: int, gram: int, own: bool, held: int):
+    """The strings over the open anchors of each document, in windows: see _Windows."""
+    step, wide = _window(length, gram), length - gram + 1
+    tail = length + step - 1
 
     def run(batches):
-        rows = _Combined(own, (0, length), held, None)
+        rows = _Windows(own, length, max(1, held // step))
         for batch in batches:
             for doc, place, text, at in _bodies(batch, "at"):
-                b = np.frombuffer(text, np.uint8)
-                starts = np.unique((np.frombuffer(at, np.int32)[:, None] - np.arange(length - gram + 1)[None, :]).ravel())
-                starts = starts[(starts >= 0) & (starts + length <= len(b))].astype(np.int64)
+                b, p = np.frombuffer(text, np.uint8), np.unique(np.frombuffer(at, np.int32)).astype(np.int64)
+                near = np.arange(0, wide, step)  # a window's strings begin so many bytes before the anchor, and some more
+                last, least = (p[:, None] - near).ravel(), (p[:, None] - np.minimum(near + step, wide) + 1).ravel()
+                kind = np.tile(near, len(p)).astype(np.uint64)
+                first, end = np.maximum(least, 0), np.minimum(last, len(b) - length)
                 for core in range(0, len(b), PART):
-                    mine = starts[(starts >= core) & (starts < core + PART)] - core
-                    if len(mine):
-                        part, hashes = b[core : core + PART + length], []
-                        for values in (VALUE, OTHER):
-                            total, down = _prefix(part, values)
-                            hashes.append(scrambled((total[mine + length] - total[mine]) * down[mine]))
-                        yield from rows.add(*hashes, doc, place, mine + core, len(b))
+                    mine = (first <= end) & (first >= core) & (first < core + PART)
+                    if not mine.any():
+                        continue
+                    part = b[core : core + PART + tail]
+                    total, down = _prefix(part)
+                    x, y = last[mine] - core, least[mine] + length - core
+                    piece = scrambled((total[y] - total[x]) * down[x] + kind[mine])
+                    padded = np.append(part, np.zeros(tail, np.uint8))
+                    yield from rows.add(piece, doc, place, first[mine], (end - first + 1)[mine], padded[(first[mine] - core)[:, None] + np.arange(tail)], len(b))
         if rows.parts:
-            yield rows.flush()
+            yield from rows.flush()
+
+    return run
+
+
+def _opened(length: int, gram: int):
+    """Of windows and signs sorted by piece and document: the strings of the windows whose piece has a sign or is in several
+    documents. Rows stream by: of a piece that goes on in the next batch, only one document's windows are held back."""
+    tail = length + _window(length, gram) - 1
+
+    def strings(doc, own, first, pieces, named):
+        b = np.frombuffer(b"".join(x.ljust(tail, b"\0") for x in pieces), np.uint8).reshape(-1, tail)
+        h, k, row, start = _strings_in(b, first, np.array([len(x) - length + 1 for x in pieces], np.int64), length)
+        cols = {"g": h.view(np.int64), "c": k.view(np.int64), "doc": doc[row]} | ({"own": own[row]} if named else {}) | {"pos": start}
+        return batch_of({x: (v, pa.int64()) for x, v in cols.items()})
+
+    def run(batches):
+        last = place = None
+        several, waiting = False, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            named = "own" in batch.schema.names
+            g, first, doc, pos = (batch[x].to_numpy() for x in ("g", "c", "doc", "pos"))
+            own, pieces = batch["own"].to_numpy() if named else doc, batch["piece"].to_pylist()
+            new = _runs(g)
+            run_of, least = np.cumsum(new) - 1, own[new]
+            goes_on = last is not None and g[0] == last
+            if goes_on:
+                least[0] = place
+            many = np.bincount(run_of, weights=(own != least[run_of]) | (pos == SIGN)) > 0
+            if goes_on:
+                many[0] |= several
+            if goes_on and many[0]:
+                for part in waiting:
+                    yield strings(*part, named)
+            if not goes_on or many[0] or run_of[-1]:
+                waiting = []
+            several = bool(many[-1])
+            for chosen, out in ((many[run_of], True), (run_of == (-1 if several else run_of[-1]), False)):
+                at = np.nonzero(chosen & (pos == MAYBE))[0]
+                if len(at):
+                    part = doc[at], own[at], first[at], [pieces[i] for i in at.tolist()]
+                    if out:
+                        yield strings(*part, named)
+                    else:
+                        waiting.append(part)
+            last, place = g[-1], least[-1]
 
     return run
 
@@ -427,7 +540,8 @@ def remove_repeats(docs: DataFrame, length: int = 50, gram: int = 28, doc_id: st
     remaining bytes, which need not be valid UTF-8.
 
     held: rows that a task gathers before it combines them. hot: from so many contexts of a gram in these on, they are not dealt by
-    gram. group: grams with more open contexts are compared string by string, dealt by the string, not by gram. None changes the result.
+    gram. group: grams with more open contexts are compared string by string, dealt by the string, not by gram; strings of which no other
+    document has the piece that they share with their neighbours are left out before. None changes the result.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -451,9 +565,13 @@ def remove_repeats(docs: DataFrame, length: int = 50, gram: int = 28, doc_id: st
     found = scratch.write(contexts.repartition("g").sortWithinPartitions("g", place).mapInArrow(_compared(length, gram), MARKS), "compared")
     every = marks.where(F.col("b") != OPEN).unionByName(found)
     if many:
-        strings = opened(pending.join(crowded, "g", "left_semi")).mapInArrow(_string_rows(length, gram, own, held // 2), schema(**_columns(own)))
+        windows = scratch.write(opened(pending.join(crowded, "g", "left_semi")).mapInArrow(_window_rows(length, gram, own, held // 2), schema(**_columns(own), piece="binary")), "windows")
+        maybe = F.col("pos").isin(SIGN, MAYBE)
+        shared = windows.where(maybe).repartition("g").sortWithinPartitions("g", place).mapInArrow(_opened(length, gram), schema(**_columns(own)))
+        strings = windows.where(~maybe).drop("piece").unionByName(shared)
         dealt = F.when(F.col("pos") >= 0, F.col("g")).otherwise(F.xxhash64("doc", "c"))
         every = every.unionByName(scratch.write(strings.repartition(dealt).sortWithinPartitions("g", "c", place).mapInArrow(_resolved(length, None), MARKS), "strings"))
+        scratch.drop("windows")
     scratch.drop("crowded")
     spans = every.repartition("doc").sortWithinPartitions("doc", "a").mapInArrow(_packed("a", "b"), schema(doc="long", a="binary", b="binary"))
     return body.join(spans.hint("shuffle_hash"), "doc", "left").mapInArrow(_finish(length, gram), schema(doc_id="long", n_bytes="long", n_removed="long", n_spans="long", kept_sha256="string", kept="binary"))

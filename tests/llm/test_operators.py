@@ -650,6 +650,49 @@ def test_repeats_in_long_texts(spark):
     assert bytes(got[4].kept) == b"x"
 
 
+def test_strings_at_the_end_of_a_frequent_passage(spark, monkeypatch):
+    """Each document that goes on differently after a frequent passage leaves few strings to compare, as many in a larger group."""
+    resolved = substrings._resolved
+
+    def rows_of(n):
+        draw, read = random.Random(4), spark.sparkContext.accumulator(0)
+        passage = "".join(draw.choices("abcdefghijklmnop ", k=61))
+        rows = [(k, passage + "".join(draw.choices("abcdefghijklmnop ", k=90))) for k in range(n)]
+
+        def counting(whole, some):
+            def counted(batches):
+                for batch in batches:
+                    read.add(batch.num_rows if some is None else 0)
+                    yield batch
+
+            inner = resolved(whole, some)
+            return lambda batches: inner(counted(batches))
+
+        monkeypatch.setattr(substrings, "_resolved", counting)
+        got = substrings.remove_repeats(documents(spark, [t for _, t in rows], [d for d, _ in rows]), group=200).drop("kept").collect()
+        assert sorted(map(tuple, got), key=str) == plain_repeats(rows, 50)
+        return read.value
+
+    few, many = rows_of(400), rows_of(800)
+    assert 0 < few <= 10 * 400 and many <= 2.2 * few
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 50])
+def test_windows_that_go_on_over_batches(size):
+    """The same strings are opened, however the sorted windows are cut into batches: those of pieces in several documents, or with a sign."""
+    import pyarrow as pa
+
+    draw = random.Random(6)
+    kinds = {"g": pa.int64(), "c": pa.int64(), "doc": pa.int64(), "pos": pa.int64(), "piece": pa.binary()}
+    windows = [(draw.randrange(12), draw.randrange(60), draw.randrange(3), substrings.MAYBE, bytes(draw.choices(b"abc", k=draw.randint(50, 54)))) for _ in range(30)]
+    rows = sorted(windows + [(g, -(1 << 63), -(1 << 63), substrings.SIGN, None) for g in (2, 5, 5, 20)], key=lambda r: (r[0], r[2]))
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + size]), kinds.values(), strict=True)], names=list(kinds)) for i in range(0, len(rows), size)]
+    got = sorted((r["doc"], r["pos"]) for b in substrings._opened(50, 28)(batches) for r in b.to_pylist())
+    docs = {g: {r[2] for r in rows if r[0] == g} for g in range(12)}
+    assert any(len(x) == 1 for x in docs.values())
+    assert got == sorted((d, c + k) for g, c, d, _, piece in windows if len(docs[g]) > 1 for k in range(len(piece) - 49))
+
+
 def test_texts_whose_contexts_had_equal_short_hashes(spark):
     """Two texts that share 28 bytes and no string of 50."""
     rows = [(1, "hgssndxdlavaau igoiglyiieecddsycymmcyzwemmzhiopkzslniee qxgppcmmzygmdtrg"), (2, "eqibmxclwczhwgzaoptinciieecddsycymmcyzwemmzhiopkzssddueswlctlcjlyyydnrgq")]
