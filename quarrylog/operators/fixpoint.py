@@ -186,10 +186,11 @@ class Evaluation:
         written: set[str] = set()
         self.full |= {n: s[0] for n, s in segments.items()}
         self.changed |= self.full
+        recursive = plan.recursive if self.semiring else self._needed(plan.recursive)
         step = 0
         while not self.max_iterations or step < self.max_iterations:
             step += 1
-            found = self._heads(plan.recursive)
+            found = self._heads(recursive)
             new = self._packed({n: self._unknown(df, n) for n, df in found.items()}, derived)
             label = self.name(f"step{step}")
             table, sizes = self.tables.write_counted(new, label, len(derived))
@@ -218,6 +219,18 @@ class Evaluation:
         self.iterations[names] = step
         self.changed.clear()
 
+    @staticmethod
+    def _needed(recursive: list[Variant]) -> list[Variant]:
+        """Where a relation's only recursive rule composes it with itself, what changed last is composed with all that is known, on one
+        side only: tuples of up to n steps being known, one of n + 1 to 2n steps begins with one of just n, which changed last."""
+        rule = recursive[0].rule if recursive else None
+        if rule and len(recursive) == 2 and recursive[1].rule is rule and len(rule.heads) == 1 and len(rule.body) == 2:
+            head, first, second = rule.head, *rule.atoms
+            terms = [t.name for a in (head, first, second) for t in a.terms if isinstance(t, Var)]
+            if len(terms) == 6 and {head.rel, first.rel, second.rel} == {head.rel} and len({*terms}) == 3 and [terms[0], terms[3], terms[1]] == [terms[2], terms[4], terms[5]]:
+                return [v for v in recursive if v.delta == 0]
+        return recursive
+
     def _together(self, name: str, parts: list[DataFrame]) -> DataFrame:
         """One set of several parts; of a tuple's annotations that of the last part counts."""
         every = parts[0]

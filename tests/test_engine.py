@@ -243,3 +243,13 @@ def test_engines_are_cloned_cleared_and_distributed(spark):
     assert other.clear(E).run(program).size("P") == 0
     with pytest.raises(LanguageError):
         first.bind(E, spark.range(3))
+
+
+def test_compositions_of_a_relation_with_itself_need_one_variant(spark, monkeypatch):
+    used, inner = [], fixpoint.Evaluation._heads
+    monkeypatch.setattr(fixpoint.Evaluation, "_heads", lambda self, variants: used.append([v.delta for v in variants]) or inner(self, variants))
+    strata, names = PROGRAMS["nonlinear"]
+    draw = random.Random(7)
+    facts = {"E": {(draw.randrange(30), draw.randrange(30)) for _ in range(40)} | {(k, k + 1) for k in range(30, 45)}}
+    found = engine(spark, **facts).run(Program(strata[0]))
+    assert rows(found, "P") == evaluate(strata, facts)["P"] and [0] in used and [0, 1] not in used
